@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, secrets
+from . import bpe, decontaminate, langid, quality, secrets
 from .common import table
+from .hashed import crc_mod
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -37,6 +38,22 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(n, base), F.sha2(listed(F.filter("spans", lambda s: s.kind.isin(*base))), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    model = langid.train(documents.where(~held_out))
+    found = documents.select("doc_id", held_out.alias("held_out"), langid.predict(F.col("text"), model).alias("p"))
+    return found.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    model = quality.train(documents.where(~held_out), labels.where(~held_out))
+    found = documents.select("doc_id", held_out.alias("held_out"), quality.score(F.col("text"), model).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _OP4_SQL = f"""
@@ -78,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_decontaminate": op4_decontaminate,
     "op5_secrets": op5_secrets,
+    "op6_language": op6_language,
+    "op9_quality": op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
