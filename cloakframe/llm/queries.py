@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, langid, quality, secrets, topk, warc
+from . import bpe, decontaminate, html_text, jaccard, langid, quality, secrets, topk, warc
 from .common import table
 from .hashed import crc_mod
 
@@ -30,6 +30,10 @@ def bpe_digests(documents: DataFrame) -> DataFrame:
     return ids.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), VOCABULARY), 256).alias("decoded_sha256"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.ngram_jaccard(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -92,6 +96,23 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.do
 """
 
 
+_OP3_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS print FROM sh GROUP BY doc_id),
+rep AS (SELECT print, min(doc_id) AS rep, count(*) AS copies, any_value(n) AS n FROM n GROUP BY print),
+rs AS (SELECT rep, rep.n AS n, g FROM rep JOIN sh ON sh.doc_id = rep.rep),
+c AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS inter FROM rs a JOIN rs b ON a.g = b.g AND a.rep <> b.rep GROUP BY a.rep, b.rep),
+l AS (SELECT a, b FROM c WHERE inter * 10 >= 8 * (na + nb - inter)),
+reach(x, y) AS (SELECT a, b FROM l UNION SELECT reach.x, l.b FROM reach JOIN l ON reach.y = l.a),
+cls AS (SELECT x, least(x, min(y)) AS class_id FROM reach GROUP BY x),
+cnt AS (SELECT a, count(*) AS n_text_links, sum(copies) AS n_docs FROM l JOIN rep ON rep.rep = l.b GROUP BY a)
+SELECT documents.doc_id, coalesce(class_id, rep, documents.doc_id) AS class_id, coalesce(rep, documents.doc_id) AS copy_of,
+       CAST(coalesce(n_docs, 0) + coalesce(copies, 1) - 1 AS BIGINT) AS n_links, CAST(coalesce(n_text_links, 0) AS BIGINT) AS n_text_links
+FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id LEFT JOIN rep ON rep.print = n.print LEFT JOIN cls ON cls.x = rep LEFT JOIN cnt ON cnt.a = rep
+"""
+
+
 def _op5_sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     rows = "\nUNION ALL ".join(
@@ -129,6 +150,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN latest <> page_id THEN
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_bpe": op2_bpe,
+    "op3_jaccard": op3_jaccard,
     "op4_decontaminate": op4_decontaminate,
     "op5_secrets": op5_secrets,
     "op6_language": op6_language,
@@ -140,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": _OP1_SQL,
     "op8_warc": _OP8_SQL,
+    "op3_jaccard": _OP3_SQL,
     "op4_decontaminate": _OP4_SQL,
     "op5_secrets": _op5_sql(),
 }
