@@ -3,7 +3,8 @@
 The distinct words of a block of rows form a small corpus. All of its bytes lie in one flat array with links to
 the neighbours inside the word; an inverted index maps the rank of each adjacent pair to the positions where it
 stands. Merges are replayed in rank order over the whole corpus at once, and each merge updates only the pairs
-that it touches. The ids of a word are kept for later blocks of the same task, up to a bounded number of words.
+that it touches. The ids of a word are kept for later blocks of the same task in two generations of bounded size:
+when the younger is full it becomes the older, and words of the older that are met again move on to the younger.
 
 Defined results: a null text is an empty text; an empty text has no ids; decoding null ids gives no bytes.
 """
@@ -22,8 +23,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words whose ids a task keeps, and characters of text that form one block.
-KEPT_WORDS, BLOCK_CHARS = 400_000, 4_000_000
+#: Words of a generation (a task keeps two), pairs whose rank is kept, and characters of text that form one block.
+KEPT_WORDS, KEPT_PAIRS, BLOCK_CHARS = 100_000, 300_000, 1_000_000
 
 
 class Vocabulary:
@@ -42,7 +43,7 @@ class Vocabulary:
         key = left << 32 | right
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > KEPT_PAIRS:
                 self.pairs.clear()
             found = self.pairs[key] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
         return found
@@ -151,17 +152,19 @@ def encode(text: Column, path: str, pattern: str) -> Column:
 
     @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocab, split, known = vocabulary(path), regex.compile(pattern).findall, {}
+        vocab, split, known, older = vocabulary(path), regex.compile(pattern).findall, {}, {}
         for texts in batches:
             out = []
             for block in _blocks(texts, BLOCK_CHARS):
                 parts = [split(text) for text in block]
-                new = {word for own in parts for word in own if word not in known}
-                if len(known) + len(new) > KEPT_WORDS:
-                    known, new = {}, {word for own in parts for word in own}
-                known.update(vocab.encode_words(new))
+                met = {word for own in parts for word in own}.difference(known)
+                again = met.intersection(older)
+                known.update((word, older[word]) for word in again)
+                known.update(vocab.encode_words(met - again))
                 get = known.__getitem__
                 out += [b"".join(map(get, own)) for own in parts]
+                if len(known) > KEPT_WORDS:
+                    known, older = {}, known
             yield pd.Series(out, dtype=object)
 
     return ids(text)
