@@ -25,7 +25,7 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The array of words of a text; null has none."""
-    return F.filter(F.split(F.coalesce(ascii_lower(text), F.lit("")), GAP), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(ascii_lower(text), F.lit("")), GAP), "")
 
 
 def shared_dir(spark: SparkSession) -> str:

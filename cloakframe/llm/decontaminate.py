@@ -26,21 +26,24 @@ def _grams(w: Column, size: int) -> Column:
     return F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.slice(w, i, size))).otherwise(F.array().cast("array<array<string>>"))
 
 
-def _gram_hashes(w: Column, size: int) -> Column:
-    return F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size)))).otherwise(F.array().cast("array<bigint>"))
+def _gram_hashes(hashes: Column, size: int) -> Column:
+    """A hash of each run of `size` word hashes."""
+    return F.when(F.size(hashes) >= size, F.transform(F.sequence(F.lit(0), F.size(hashes) - size), lambda i: F.xxhash64(*(F.get(hashes, i + n) for n in range(size))))).otherwise(F.array().cast("array<bigint>"))
 
 
-def winnow(hashes: Column, window: int) -> Column:
-    """Positions (from 1) of the leftmost smallest hash of each window, each once."""
-    at = F.when(
-        F.size(hashes) >= window,
-        F.transform(F.sequence(F.lit(1), F.size(hashes) - (window - 1)), lambda i: _leftmost(F.slice(hashes, i, window)) + i - 1),
-    ).otherwise(F.array().cast("array<bigint>"))
-    return F.array_distinct(at)
+def _least_hashes(hashes: Column, window: int) -> Column:
+    """The smallest hash of each window."""
+    return F.when(F.size(hashes) >= window, F.transform(F.sequence(F.lit(0), F.size(hashes) - window), lambda i: F.least(*(F.get(hashes, i + n) for n in range(window))) if window > 1 else F.get(hashes, i))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _leftmost(hashes: Column) -> Column:
-    return F.array_position(hashes, F.array_min(hashes))
+def _kept(df: DataFrame, kgram: int, window: int) -> DataFrame:
+    """Rows of df, which has words w, with the smallest hash of each window of `window` words in `least`.
+
+    Explode it with explode_outer: for explode the optimizer adds a filter on the array's size and pushes it below all of
+    these projections, which then are evaluated inside one another, for each element.
+    """
+    hashed = df.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    return hashed.drop("w").withColumn("g", _gram_hashes(F.col("h"), kgram)).drop("h").withColumn("least", _least_hashes(F.col("g"), window - kgram + 1)).drop("g")
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -54,14 +57,18 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
     texts = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.md5("text"))
     items = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("item"), words(F.col(item_text_col)).alias("w")).where(F.size("w") > 0)
     windows = written(items.select("item", F.explode(F.when(F.size("w") >= window, _grams(F.col("w"), window)).otherwise(F.array("w"))).alias("w")).select("item", F.size("w").alias("len"), F.array_join("w", " ").alias("win")).distinct(), "windows")
-    prints = items.where(F.size("w") >= window).select(_gram_hashes(F.col("w"), kgram).alias("h")).select("h", F.explode(winnow(F.col("h"), window - kgram + 1)).alias("at")).select(F.get("h", F.col("at").cast("int") - 1).alias("print")).distinct()
+    prints = _kept(items, kgram, window).select(F.explode_outer("least").alias("print")).where(F.col("print").isNotNull()).distinct()
 
+    # one fingerprint for each run of windows with the same smallest hash, and for each `reach + 1`th window at least:
+    # a window that shares its fingerprint starts at most `reach` words after one that is kept
     reach = window - kgram
-    kept = texts.select("key", words(F.col("text")).alias("w")).where(F.size("w") >= window).select("key", "w", _gram_hashes(F.col("w"), kgram).alias("h"))
-    kept = kept.select("key", "w", "h", winnow(F.col("h"), reach + 1).alias("at"))
-    around = F.transform("at", lambda p: F.struct(F.get("h", p.cast("int") - 1).alias("print"), F.greatest(p - reach, F.lit(1)).cast("int").alias("first"), F.slice("w", F.greatest(p - reach, F.lit(1)).cast("int"), (F.least(p, F.lit(reach + 1)) + window - 1).cast("int")).alias("near")))
-    hits = kept.select("key", F.inline(around)).join(_sized(prints), "print", "left_semi")
-    near = hits.select("key", "first", _grams(F.col("near"), window).alias("grams")).select("key", "first", F.posexplode("grams").alias("n", "gram")).select("key", (F.col("first") + F.col("n") - 1).alias("start"), F.array_join("gram", " ").alias("win"))
+    kept = _kept(texts.select("key", words(F.col("text")).alias("w")), kgram, window)
+    first = F.transform("least", lambda x, i: F.when((i % (reach + 1) == 0) | (x != F.get("least", i - 1)), F.struct(x.alias("print"), i.alias("first"))))
+    hits = kept.select("key", F.explode_outer(F.array_compact(first)).alias("f")).select("key", "f.*").join(_sized(prints), "print", "left_semi")
+    starts = hits.groupBy("key").agg(F.collect_set("first").alias("firsts"))  # bounded by one text's words
+    starts = written(starts, "hits")
+    near = texts.select("key", "text").join(_sized(starts.select("key", "firsts")), "key").dropDuplicates(["key"]).select("key", words(F.col("text")).alias("w"), "firsts").select("key", "w", F.explode_outer(F.array_distinct(F.flatten(F.transform("firsts", lambda i: F.sequence(i, i + reach))))).alias("start"))
+    near = near.where(F.col("start") + window <= F.size("w")).select("key", "start", F.array_join(F.slice("w", F.col("start") + 1, window), " ").alias("win"))
     for short in sorted(row.len for row in windows.where(F.col("len") < window).select("len").distinct().collect()):  # at most window - 1 lengths
         near = near.unionByName(texts.select("key", words(F.col("text")).alias("w")).select("key", F.posexplode(_grams(F.col("w"), short)).alias("start", "gram")).select("key", "start", F.array_join("gram", " ").alias("win")))
     found = near.join(_sized(windows), "win").select("key", "start", "len", "item")
