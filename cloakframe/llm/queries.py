@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, jaccard, langid, quality, secrets, topk, warc
+from . import bpe, decontaminate, html_text, jaccard, langid, passages, quality, secrets, topk, warc
 from .common import table
 from .hashed import crc_mod
 
@@ -55,6 +55,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s.start, s.end)), ","))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive_folder(spark)
     index = warc.write_archive(table(spark, sf_dir, "pages"), folder)
@@ -154,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_secrets": op5_secrets,
     "op6_language": op6_language,
+    "op7_passages": op7_passages,
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_html": op10_html,
