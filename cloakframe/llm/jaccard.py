@@ -36,7 +36,7 @@ from .components import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Members above which a bucket is split, and steps of a path after which it is compared as it is.
-SPLIT_ROWS, MOST_STEPS = 512, 4
+SPLIT_ROWS, MOST_STEPS = 1024, 4
 #: Rows of a block in a brute-force comparison.
 BLOCK_ROWS = 512
 #: Slots of a sketch, and the share of equal slots from which a pair goes to one candidate group: four standard errors
@@ -76,20 +76,23 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(rolling(word_hashes(text), size))
 
 
-def sketch(own: np.ndarray) -> bytes:
-    """One byte a slot: the smallest of the set's hashes under each of the slots' hash functions."""
-    out = np.empty(SLOTS, np.uint8)
-    for n in range(SLOTS):
-        out[n] = mix_fast(own, n).min() >> np.uint64(24) & np.uint64(255)
-    return out.tobytes()
+_ODD = (np.random.default_rng(5).integers(1, 2**63, 1024, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-_ODD = (np.random.default_rng(5).integers(1, 2**63, SLOTS, np.uint64) << np.uint64(1)) | np.uint64(1)
+def mixes(x: np.ndarray, numbers: range) -> np.ndarray:
+    """A row of hashes of the values, which are hashes themselves, for each numbered hash function."""
+    y = x[None, :] * _ODD[numbers.start : numbers.stop, None]
+    y ^= y >> np.uint64(31)
+    y *= _PRIME
+    y ^= y >> np.uint64(29)
+    return y
 
 
-def mix_fast(x: np.ndarray, n: int) -> np.ndarray:
-    y = x * _ODD[n]
-    return (y ^ (y >> np.uint64(31))) * _ODD[n - 1]
+def sketch(own: np.ndarray) -> bytes:
+    """One byte a slot: of the smallest of the set's hashes under each of the slots' hash functions."""
+    wide = max(1, min(SLOTS, 16_384 // len(own)))
+    least = [mixes(own, range(n, min(n + wide, SLOTS))).min(1) for n in range(0, SLOTS, wide)]
+    return (np.concatenate(least) >> np.uint64(24) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
 def runs(threshold: float, recall: float) -> int:
@@ -103,6 +106,18 @@ def chosen(own: np.ndarray, seed: int, threshold: float) -> np.ndarray:
     return own[mix(own, seed) < np.uint64(min(2.0**64 - 2048, 2.0**64 / (threshold * len(own))))]
 
 
+def first_keys(own: np.ndarray, n_runs: int, threshold: float) -> np.ndarray:
+    """Buckets of the first step of all runs."""
+    limit = np.uint64(min(2.0**64 - 2048, 2.0**64 / (threshold * len(own))))
+    wide = max(1, min(n_runs, 16_384 // len(own)))
+    keys = []
+    for at in range(0, n_runs, wide):
+        own_runs = range(at, min(at + wide, n_runs))
+        run, place = np.nonzero(mixes(own, range(SLOTS + own_runs.start, SLOTS + own_runs.stop)) < limit)
+        keys.append(mix(own[place] + (run + at + 1).astype(np.uint64) * _PRIME, 1001))
+    return np.unique(np.concatenate(keys)).view(np.int64)
+
+
 def _read_sets(docs: DataFrame, shingle: int, threshold: float, recall: float) -> DataFrame:
     """id, size, fingerprint of the set, and the first step's bucket keys, for texts with words."""
     n_runs = runs(threshold, recall)
@@ -113,8 +128,7 @@ def _read_sets(docs: DataFrame, shingle: int, threshold: float, recall: float) -
             for ident, text in zip(batch["id"], batch["text"], strict=True):
                 own = shingle_set(text, shingle)
                 if len(own):
-                    keys = np.concatenate([mix(chosen(own, 1 + r, threshold), 1001 + r) for r in range(n_runs)]) if len(own) > 1 else mix(own, 1001)
-                    rows.append((ident, len(own), xxhash.xxh3_128_digest(own.tobytes()), np.unique(keys).view(np.int64)))
+                    rows.append((ident, len(own), xxhash.xxh3_128_digest(own.tobytes()), first_keys(own, n_runs, threshold)))
                 else:
                     rows.append((ident, 0, b"", np.zeros(0, np.int64)))
             yield pd.DataFrame(rows, columns=["id", "size", "print", "keys"])
@@ -286,8 +300,8 @@ def ngram_jaccard(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     leaves = None
     for step in range(MOST_STEPS):
         counted = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("parent_n").alias("parent_n")).where("n > 1")
-        # a child that keeps half of its parent's members is a large group of similar sets: splitting on is idle
-        leaf = (F.col("n") <= SPLIT_ROWS) | (F.col("n") * 2 > F.col("parent_n")) & (F.col("parent_n") > 0) | F.lit(step == MOST_STEPS - 1)
+        # a child that keeps a third of its parent's members is a large group of similar sets: splitting on is idle
+        leaf = (F.col("n") <= SPLIT_ROWS) | (F.col("n") * 3 > F.col("parent_n")) & (F.col("parent_n") > 0) | F.lit(step == MOST_STEPS - 1)
         kept = written(rows.drop("parent_n").join(counted.select("key", "n", leaf.alias("leaf")), "key"), "buckets")
         done = kept.where("leaf").select("key", "n", "id")
         leaves = done if leaves is None else leaves.unionByName(done)
