@@ -37,8 +37,8 @@ from .components import components
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Members above which a bucket is split, and steps of a path after which it is compared as it is.
 SPLIT_ROWS, MOST_STEPS = 1024, 4
-#: Rows of a block in a brute-force comparison.
-BLOCK_ROWS = 512
+#: Rows of a block in a brute-force comparison of sets, and of sketches.
+BLOCK_ROWS, SKETCH_BLOCK_ROWS = 512, 2048
 #: Slots of a sketch, and the share of equal slots from which a pair goes to one candidate group: four standard errors
 #: below the threshold.
 SLOTS, NEAR = 96, 0.6
@@ -318,7 +318,7 @@ def ngram_jaccard(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     in_bucket = leaves.select("id").distinct()
     by_id = texts.join(reps.select("id", "size", "copies"), "id").join(in_bucket, "id", "left_semi")
     marks = by_id.select("id", "text").mapInPandas(sketched, "id long, sketch binary").dropDuplicates(["id"])
-    near = _cells(leaves.join(marks, "id").join(reps.select("id", "size"), "id"), "key", "n", BLOCK_ROWS)
+    near = _cells(leaves.join(marks, "id").join(reps.select("id", "size"), "id"), "key", "n", SKETCH_BLOCK_ROWS)
     candidates = components(_sorted_cells(near).mapInPandas(_near_forest(NEAR), "a long, b long"))
     roots = candidates.select(F.col("component").alias("node"), "component").distinct()
     grouped = written(candidates.unionByName(roots).select(F.col("node").alias("id"), F.col("component").alias("key")), "groups")
