@@ -8,8 +8,8 @@ no bound can reach the query's kth score.
 
 Defined results: components become floor(scale * x), x as double. Vectors that are null, or hold a null, NaN or
 infinite component, take no part. Vectors of different length never meet. A query's own row, and any other row of
-its id, is no candidate; candidates of equal id but different rows are all listed. Ties go to the smaller id. Scores
-outside a signed 64-bit integer are cut to its range. Rows with a null id take no part.
+its id, is no candidate; candidates of equal id but different rows are all listed. Ties go to the smaller id. Components
+and scores outside a signed 64-bit integer are cut to its range, before they are ranked. Rows with a null id take no part.
 """
 
 from __future__ import annotations
@@ -136,8 +136,12 @@ def _matrix(rows: pd.Series) -> np.ndarray:
     return out if most * most * out.shape[1] < _EXACT else np.array([[int(x) for x in row] for row in out], dtype=object)
 
 
+def _clip(score) -> int:
+    return max(-(2**63), min(2**63 - 1, int(score)))
+
+
 def _brute(ids: np.ndarray, vectors: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[list[int], list[int]]:
-    scores = vectors @ query
+    scores = [_clip(x) for x in vectors @ query]
     keep = sorted((i for i in range(len(ids)) if ids[i] != own), key=lambda i: (-scores[i], ids[i]))[:k]
     return [scores[i] for i in keep], [ids[i] for i in keep]
 
@@ -164,8 +168,7 @@ def _wave(first: bool, k: int, leaf: int):
                             result[n] = got
                 else:
                     result = tree.search(query_ids, asked, k, queries["kth"].to_numpy(np.float64), queries["kth_id"].to_numpy(np.int64))
-            clip = lambda s: max(-(2**63), min(2**63 - 1, int(s)))
-            found = [(row, own, int(i), clip(s)) for row, own, (scores, near) in zip(rows, query_ids, result, strict=bool(result)) for s, i in zip(scores, near, strict=True)] if result else []
+            found = [(row, own, int(i), _clip(s)) for row, own, (scores, near) in zip(rows, query_ids, result, strict=bool(result)) for s, i in zip(scores, near, strict=True)] if result else []
         return pd.DataFrame(found, columns=["row", "query_id", "vec_id", "score"]).astype({"row": "int64", "query_id": "int64", "vec_id": "int64", "score": "int64"})
 
     return run
