@@ -3,7 +3,7 @@
 The distinct words of a block of rows form a small corpus. All of its bytes lie in one flat array with links to
 the neighbours inside the word; an inverted index maps the rank of each adjacent pair to the positions where it
 stands. Merges are replayed in rank order over the whole corpus at once, and each merge updates only the pairs
-that it touches. The ids of a word are kept for later blocks of the same task in two generations of bounded size:
+that it touches. (A word in which a merge makes a pair of lower rank is merged anew by itself.) The ids of a word are kept for later blocks of the same task in two generations of bounded size:
 when the younger is full it becomes the older, and words of the older that are met again move on to the younger.
 
 Defined results: a null text is an empty text; an empty text has no ids; decoding null ids gives no bytes.
@@ -13,18 +13,19 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words of a generation (a task keeps two), pairs whose rank is kept, and characters of text that form one block.
-KEPT_WORDS, KEPT_PAIRS, BLOCK_CHARS = 100_000, 300_000, 1_000_000
+#: Words of a generation (a task keeps two), and characters of text that form one block.
+KEPT_WORDS, BLOCK_CHARS = 100_000, 1_500_000
+_SHIFT = 24
 
 
 class Vocabulary:
@@ -35,18 +36,17 @@ class Vocabulary:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[int, int] = {}
-
-    def pair(self, left: int, right: int) -> int:
-        """Rank of what two neighbouring tokens merge into, or -1."""
-        key = left << 32 | right
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > KEPT_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-        return found
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        # every pair of tokens that merges: left << _SHIFT | right, sorted, and the rank that it merges into
+        pairs = [(left << _SHIFT | right, rank) for token, rank in ranks.items() for at in range(1, len(token)) if (left := ranks.get(token[:at])) is not None and (right := ranks.get(token[at:])) is not None]
+        self.pair_keys, self.pair_ranks = map(np.array, zip(*sorted(pairs), strict=True)) if pairs else (np.zeros(1, np.int64) - 1, np.zeros(1, np.int64) - 1)
+        self.pairs = dict(pairs)
+
+    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of what pairs of neighbouring tokens merge into, -1 for none."""
+        key = left << _SHIFT | right
+        at = np.searchsorted(self.pair_keys, key).clip(max=len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers."""
@@ -58,75 +58,115 @@ class Vocabulary:
                 rest.append((word, raw))
             else:
                 out[word] = whole.to_bytes(4, "little")
-        ids, following, starts = self._replay([raw for _, raw in rest])
-        for (word, _), at in zip(rest, starts, strict=True):
-            own = array("I")
-            while at >= 0:
-                own.append(ids[at])
-                at = following[at]
-            out[word] = own.tobytes()
+        for (word, _), own in zip(rest, self.replay([raw for _, raw in rest]), strict=True):
+            out[word] = own
         return out
 
-    def _replay(self, words: list[bytes]) -> tuple[list[int], list[int], list[int]]:
-        """Tokens by position, the next position of each, and each word's first position (-1: no bytes)."""
-        pair, single = self.pair, self.single
-        ids: list[int] = []
-        following: list[int] = []
-        starts: list[int] = []
-        index: defaultdict[int, list[int]] = defaultdict(list)
-        for raw in words:
-            starts.append(len(ids) if raw else -1)
-            own = [single[b] for b in raw]
-            base = len(ids)
-            for at in range(len(own) - 1):
-                rank = pair(own[at], own[at + 1])
-                if rank >= 0:
-                    index[rank].append(base + at)
-            ids += own
-            following += range(base + 1, base + len(own))
-            if own:
-                following.append(-1)
-        before = [-1] * len(ids)
-        for at, then in enumerate(following):
-            if then >= 0:
-                before[then] = at
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words, as bytes, by applying all merges in rank order to all words at once."""
+        if not words:
+            return []
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths)
+        ids, following = self.single[raw], np.arange(1, len(raw) + 1)
+        following[ends[lengths > 0] - 1] = -1
+        before = np.arange(-1, len(raw) - 1)
+        before[(ends - lengths)[lengths > 0]] = -1
+        due_at = np.full(len(raw), -1)  # rank of the pair that begins at a position
+        inner = np.flatnonzero(following >= 0)
+        due_at[inner] = self.merged(ids[inner], ids[inner + 1])
+        # the inverted index: rank -> positions
+        index: dict[int, list[int]] = {}
+        live = np.flatnonzero(due_at >= 0)
+        live = live[np.argsort(due_at[live], kind="stable")]
+        cuts = np.flatnonzero(np.diff(due_at[live])) + 1
+        for part in np.split(live, cuts) if len(live) else []:
+            index[int(due_at[part[0]])] = part.tolist()
         due = list(index)
         heapify(due)
+        early: list[int] = []  # where a merge made a pair of lower rank
+        get, id_of, next_of, prev_of, rank_of = self.pairs.get, *map(memoryview, (ids, following, before, due_at))
+
+        def add(rank: int, at: int) -> None:
+            found = index.get(rank)
+            if found is None:
+                index[rank] = [at]
+                heappush(due, rank)
+            else:
+                found.append(at)
+
         while due:
             rank = heappop(due)
-            places = index.pop(rank, None)
-            if places is None:
+            places = index.pop(rank)
+            if len(places) < 24:
+                places.sort()
+                for at in places:
+                    if rank_of[at] != rank:
+                        continue  # an earlier merge took one of the two
+                    then = next_of[at]
+                    after, left = next_of[then], prev_of[at]
+                    id_of[at], id_of[then], next_of[at] = rank, -1, after
+                    rank_of[then] = rank_of[at] = -1
+                    if after >= 0:
+                        prev_of[after] = at
+                        new = get(rank << _SHIFT | id_of[after], -1)
+                        if new >= 0:
+                            rank_of[at] = new
+                            add(new, at)
+                            if new < rank:
+                                early.append(at)
+                    if left >= 0:
+                        new = get(id_of[left] << _SHIFT | rank, -1)
+                        rank_of[left] = new
+                        if new >= 0:
+                            add(new, left)
+                            if new < rank:
+                                early.append(at)
                 continue
-            places.sort()
-            for n, at in enumerate(places):
-                then = following[at]
-                if ids[at] < 0 or then < 0 or pair(ids[at], ids[then]) != rank:
-                    continue  # an earlier merge took one of the two
-                ids[at], ids[then] = rank, -1
-                after, left = following[then], before[at]
-                following[at] = after
-                early = False
-                if after >= 0:
-                    before[after] = at
-                    new = pair(rank, ids[after])
-                    if new >= 0:
-                        if new not in index:
-                            heappush(due, new)
-                        index[new].append(at)
-                        early = new <= rank
-                if left >= 0:
-                    new = pair(ids[left], rank)
-                    if new >= 0:
-                        if new not in index:
-                            heappush(due, new)
-                        index[new].append(left)
-                        early = early or new <= rank
-                if early and n + 1 < len(places):  # what is due now goes before the rest of this rank
-                    if rank not in index:
-                        heappush(due, rank)
-                    index[rank] += places[n + 1 :]
-                    break
-        return ids, following, starts
+            at = np.unique(np.array(places))
+            at = at[due_at[at] == rank]
+            then = following[at]
+            if len(at) > 1 and (then[:-1] == at[1:]).any():  # runs of one token: from the left, each token once
+                keep, taken = [], -1
+                for n, (x, y) in enumerate(zip(at.tolist(), then.tolist(), strict=True)):
+                    if x != taken:
+                        keep.append(n)
+                        taken = y
+                at, then = at[keep], then[keep]
+            after = following[then]
+            ids[at], ids[then], following[at] = rank, -1, after
+            due_at[then] = due_at[at] = -1
+            has = after >= 0
+            before[after[has]] = at[has]
+            left = before[at]
+            has_left = left >= 0
+            new_at = np.concatenate([at[has], left[has_left]])
+            new = np.concatenate([self.merged(np.full(int(has.sum()), rank), ids[after[has]]), self.merged(ids[left[has_left]], np.full(int(has_left.sum()), rank))])
+            due_at[new_at] = new
+            some = new >= 0
+            for r, x in zip(new[some].tolist(), new_at[some].tolist(), strict=True):
+                add(r, x)
+            if (new[some] < rank).any():
+                early += new_at[some][new[some] < rank].tolist()
+        kept = ids >= 0
+        counts = np.concatenate([[0], np.cumsum(kept)])
+        packed = ids[kept].astype("<u4").tobytes()
+        bounds = (counts[ends] * 4).tolist()
+        out = [packed[a:b] for a, b in zip([0, *bounds], bounds, strict=False)]
+        for word in {int(w) for w in np.searchsorted(ends, early, side="right")}:  # its merges did not come in rank order
+            out[word] = self.one_word(words[word])
+        return out
+
+    def one_word(self, raw: bytes) -> bytes:
+        """Ids of a word, always merging the leftmost pair of least rank."""
+        own = [int(self.single[b]) for b in raw]
+        while True:
+            found = [(r, n) for n in range(len(own) - 1) if (r := self.pairs.get(own[n] << _SHIFT | own[n + 1], -1)) >= 0]
+            if not found:
+                return array("I", own).tobytes()
+            rank, at = min(found)
+            own[at : at + 2] = [rank]
 
 
 @lru_cache(maxsize=4)
@@ -147,25 +187,41 @@ def _blocks(texts: pd.Series, most: int) -> Iterator[list[str]]:
         yield block
 
 
+class Encoder:
+    """Ids of texts, with the words of two generations at hand."""
+
+    def __init__(self, path: str, pattern: str):
+        self.vocab, self.split, self.known, self.older = vocabulary(path), regex.compile(pattern).findall, {}, {}
+
+    def __call__(self, texts: pd.Series) -> list[bytes]:
+        out = []
+        for block in _blocks(texts, BLOCK_CHARS):
+            parts = [self.split(text) for text in block]
+            met = {word for own in parts for word in own}.difference(self.known)
+            again = met.intersection(self.older)
+            self.known.update((word, self.older[word]) for word in again)
+            self.known.update(self.vocab.encode_words(met - again))
+            get = self.known.__getitem__
+            out += [b"".join(map(get, own)) for own in parts]
+            if len(self.known) > KEPT_WORDS:
+                self.known, self.older = {}, self.known
+        return out
+
+
+def _decoded(vocab: Vocabulary, row: bytes | None) -> bytes:
+    ids = array("I")
+    ids.frombytes(row or b"")
+    return b"".join(map(vocab.tokens.__getitem__, ids))
+
+
 def encode(text: Column, path: str, pattern: str) -> Column:
     """Ids of a text column as one binary value a row: little-endian unsigned 32-bit integers, no special tokens."""
 
     @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocab, split, known, older = vocabulary(path), regex.compile(pattern).findall, {}, {}
+        encoder = Encoder(path, pattern)
         for texts in batches:
-            out = []
-            for block in _blocks(texts, BLOCK_CHARS):
-                parts = [split(text) for text in block]
-                met = {word for own in parts for word in own}.difference(known)
-                again = met.intersection(older)
-                known.update((word, older[word]) for word in again)
-                known.update(vocab.encode_words(met - again))
-                get = known.__getitem__
-                out += [b"".join(map(get, own)) for own in parts]
-                if len(known) > KEPT_WORDS:
-                    known, older = {}, known
-            yield pd.Series(out, dtype=object)
+            yield pd.Series(encoder(texts), dtype=object)
 
     return ids(text)
 
@@ -175,17 +231,25 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.pandas_udf("binary")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        get = vocabulary(path).tokens.__getitem__
+        vocab = vocabulary(path)
         for rows in batches:
-            out = []
-            for row in rows:
-                own = array("I")
-                own.frombytes(row or b"")
-                out.append(b"".join(map(get, own)))
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([_decoded(vocab, row) for row in rows], dtype=object)
 
     return decoded(ids)
 
 
+def encode_and_decode(text: Column, path: str, pattern: str) -> Column:
+    """struct<ids, decoded>: both in one pass, by one worker."""
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(path, pattern)
+        for texts in batches:
+            ids = encoder(texts)
+            yield pd.DataFrame({"ids": ids, "decoded": [_decoded(encoder.vocab, row) for row in ids]}, dtype=object)
+
+    return both(text)
+
+
 def n_tokens(ids: Column) -> Column:
     return F.floor(F.octet_length(ids) / 4).cast("long")

@@ -28,6 +28,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(ascii_lower(text), F.lit("")), GAP), "")
 
 
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bytes of text that a Python worker is sent at once: long texts else come by thousands of rows a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

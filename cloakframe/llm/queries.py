@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, html_text, jaccard, langid, passages, quality, secrets, topk, warc
-from .common import table
+from .common import bounded_batches, table
 from .hashed import crc_mod
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -26,8 +26,9 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_digests(documents: DataFrame) -> DataFrame:
-    ids = documents.select("doc_id", bpe.encode(F.col("text"), VOCABULARY, public_tokenizers.PATTERN).alias("ids"))
-    return ids.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), VOCABULARY), 256).alias("decoded_sha256"))
+    bounded_batches(documents.sparkSession)
+    both = documents.select("doc_id", bpe.encode_and_decode(F.col("text"), VOCABULARY, public_tokenizers.PATTERN).alias("b"))
+    return both.select("doc_id", bpe.n_tokens(F.col("b.ids")).alias("n_tokens"), F.sha2("b.ids", 256).alias("ids_sha256"), F.sha2("b.decoded", 256).alias("decoded_sha256"))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
