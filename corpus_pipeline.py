@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm import decontaminate, jaccard, langid, secrets
-from cloakframe.llm.common import table, written
+from cloakframe.llm.common import bounded_batches, table, written
 from cloakframe.llm.hashed import crc_mod
 from cloakframe.llm.queries import bpe_digests
 
@@ -19,6 +19,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those that the identifier rejects go."""
+    bounded_batches(spark)
     model = langid.train(docs.where(crc_mod(F.col("doc_id"), 3) != 1))
     return docs.select(*COLUMNS, langid.predict(F.col("text"), model).alias("p")).where(~F.col("p.rejected")).select(*COLUMNS)
 
