@@ -47,9 +47,9 @@ def recut_batch(fragments: DataFrame) -> DataFrame:
 
 
 class Recut(StatefulProcessor):
-    """Keeps the held-back part of a (session, stream, key), for as long as ttl_ms after it was last written."""
+    """Keeps the held-back part of a (session, stream, key) to the stream's end, or for ttl_ms after it was last written."""
 
-    def __init__(self, ttl_ms: int = 300_000):
+    def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -72,22 +72,31 @@ class Recut(StatefulProcessor):
         pass
 
 
-def recut_stream(fragments: DataFrame, ttl_ms: int = 300_000) -> DataFrame:
-    """fragments (FRAGMENT), streamed, re-cut so that no tag is cut. Needs the RocksDB state store; output mode update."""
-    return fragments.groupBy("session", "stream", "key").transformWithStateInPandas(statefulProcessor=Recut(ttl_ms), outputStructType=OUT, outputMode="Update", timeMode="ProcessingTime")
+def recut_stream(fragments: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """fragments (FRAGMENT), streamed, re-cut so that no tag is cut. Needs the RocksDB state store; output mode update.
 
+    A time to live needs the clock, and a query that needs it never runs out of batches: it must be stopped."""
+    return fragments.groupBy("session", "stream", "key").transformWithStateInPandas(statefulProcessor=Recut(ttl_ms), outputStructType=OUT, outputMode="Update", timeMode="ProcessingTime" if ttl_ms else "None")
 
-def restore_stream(fragments: DataFrame, originals: DataFrame, sink, checkpoint: str, *, available_now: bool = True):
+
+def restore_stream(fragments: DataFrame, originals: DataFrame, sink, checkpoint: str, *, available_now: bool = True, ttl_ms: int = 300_000):
     """A started query: each micro-batch of re-cut fragments, restored (column restored), goes to sink(df, batch_id).
 
+    available_now: it takes what is there and ends, without a time to live; else it runs on, abandoned parts expire.
     originals (session, tag, original) is read anew for each batch. Stop it with query.stop(): state and offsets stay."""
     from ..operators import pseudonyms
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        keyed = batch.withColumn("__row", F.concat_ws("\u0001", "session", "stream", "key", "seq"))
-        sink(pseudonyms.restore(keyed, originals, id_col="__row", session="session", text="text").drop("__row"), batch_id)
-
-    writer = recut_stream(fragments).writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint)
+        # restoring reads the batch twice, and a store's version can be open only once: the stateful part runs first
+        batch = batch.persist()
+        try:
+            batch.count()
+            keyed = batch.withColumn("__row", F.concat_ws("\u0001", "session", "stream", "key", "seq"))
+            sink(pseudonyms.restore(keyed, originals, id_col="__row", session="session", text="text").drop("__row"), batch_id)
+        finally:
+            batch.unpersist()
+
+    writer = recut_stream(fragments, None if available_now else ttl_ms).writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
