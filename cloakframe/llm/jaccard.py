@@ -22,7 +22,6 @@ the id. A null id is left out. Whole texts are read.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import written
 from .components import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -42,8 +41,6 @@ BLOCK_ROWS, SKETCH_BLOCK_ROWS = 512, 2048
 #: Slots of a sketch, and the share of equal slots from which a pair goes to one candidate group: four standard errors
 #: below the threshold.
 SLOTS, NEAR = 96, 0.6
-_WORDS = re.compile(WORD)
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,10 +52,27 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+# of each byte of UTF-8: a random number, the same for both cases of A-Z, and whether it stands in a word
+_BYTE = np.random.default_rng(6).integers(1, 2**63, 256, np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+_IN_WORD = np.array([chr(n).isalnum() if n < 128 else True for n in range(256)])
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+
+
 def word_hashes(text: str | None) -> np.ndarray:
-    words = _WORDS.findall(text.translate(_UPPER)) if text else []
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in words), np.uint64, len(words))
+    """A hash of each word of a text: the numbers of its bytes, weighed by powers of a base, summed and mixed."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass") if text else b"", np.uint8)
+    inside = _IN_WORD[raw]
+    starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    word = np.cumsum(np.bincount(starts, minlength=len(raw))) - 1
+    place = np.arange(len(raw)) - starts[word.clip(min=0)]
+    place[~inside] = 0
+    powers = np.cumprod(np.full(int(place.max()) + 1, _BASE))
+    weighed = _BYTE[raw] * powers[place]
+    weighed[~inside] = 0
+    return mix(np.add.reduceat(weighed, starts), 3)
 
 
 def rolling(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:

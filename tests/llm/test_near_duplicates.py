@@ -21,6 +21,22 @@ def edited(rng, words, n):
     return out
 
 
+def test_words_are_hashed_as_they_are_read():
+    import re
+
+    rng = np.random.default_rng(8)
+    seen = {}
+    for _ in range(400):
+        text = "".join(rng.choice(list("abAB01 .,\n_é😀ß\x00-"), int(rng.integers(0, 60))))
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        hashes = jaccard.word_hashes(text).tolist()
+        assert len(hashes) == len(words)
+        for w, h in zip(words, hashes, strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+    assert len(jaccard.word_hashes(None)) == len(jaccard.word_hashes(" .")) == 0
+
+
 def corpus():
     rng = np.random.default_rng(9)
     texts = [" ".join(words_of(rng, int(rng.integers(20, 200)))) for _ in range(40)]
