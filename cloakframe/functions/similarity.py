@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import importlib
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from typing import Protocol
 
+from .registry import load
+
 
 def jaro_winkler(a: str, b: str) -> float:
     """Fractional transpositions, a prefix bonus of at most 4 characters without a lower limit; case counts."""
@@ -74,17 +75,6 @@ class ByType:
         return (self.fuzzy if kind in self.types else exact)(kind, value, known)
 
 
-def _load(path: str) -> Callable:
-    module, _, name = path.replace(":", ".").rpartition(".")
-    try:
-        found = getattr(importlib.import_module(module), name)
-    except (ImportError, AttributeError, ValueError) as e:
-        raise ValueError(f"no resolution strategy {path}") from e
-    if not callable(found):
-        raise ValueError(f"{path} is not callable")
-    return found
-
-
 def resolution(name: str | None, threshold: float = 0.88, fuzzy_types: Iterable[str] | None = None) -> Resolution:
     """By name: exact (or none), jaro-winkler, or module.Class, made with the threshold or without arguments."""
     name = (name or "").strip()
@@ -93,7 +83,7 @@ def resolution(name: str | None, threshold: float = 0.88, fuzzy_types: Iterable[
     if name.lower() == "jaro-winkler":
         made: Resolution = JaroWinkler(threshold)
     else:
-        found = _load(name)
+        found = load(name)
         if not isinstance(found, type):
             made = found
         else:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import is_blank
+from ..functions.registry import load
 from .detect import tags
 
 FIELDS = ("content", "reasoning", "thought")
@@ -58,6 +59,20 @@ def chunk_fields(chunk: Column) -> Column:
     return F.filter(F.concat(plain, details), lambda x: x.text.isNotNull())
 
 
+def with_response_fields(response: Column, change, all_choices: bool = False) -> Column:
+    """The response with change(text) in place of the fields that response_fields gives; null texts stay null."""
+    detail = lambda ds: F.transform(ds, lambda d, n: F.when((n == 0) & d.text.isNotNull(), d.withField("text", change(d.text))).otherwise(d))
+    one = lambda m: m.withField("content", change(m.content)).withField("reasoning", change(m.reasoning)).withField("reasoning_details", detail(m.reasoning_details))
+    return response.withField("choices", F.transform(response.choices, lambda c, n: F.when(F.lit(all_choices) | (n == 0), c.withField("message", one(c.message))).otherwise(c)))
+
+
+def data_frame(content: Column | None = None, reasoning: Column | None = None, details: Column | None = None) -> Column:
+    """An event-stream frame of one chunk; parts that are null are left out."""
+    none, no_details = F.lit(None).cast("string"), F.lit(None).cast("array<struct<text:string>>")
+    delta = F.struct((none if content is None else content).alias("content"), (none if reasoning is None else reasoning).alias("reasoning"), (no_details if details is None else details).alias("reasoning_details"))
+    return F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(delta.alias("delta"))).alias("choices"))))
+
+
 def with_prompt(messages: Column, prompt: str) -> Column:
     """The gateway's note: behind the text of a leading system or developer message, else as a system message before all.
 
@@ -70,6 +85,21 @@ def with_prompt(messages: Column, prompt: str) -> Column:
     return F.when(messages.isNull() | (F.size(messages) == 0), messages).when(first.role.isin("system", "developer"), noted).otherwise(added)
 
 
+class OpenAi:
+    """The default codec."""
+
+    request_fields, with_fields, response_fields, with_response_fields, chunk_fields = map(staticmethod, (request_fields, with_fields, response_fields, with_response_fields, chunk_fields))
+
+
+CODECS: dict[str, type] = {"openai": OpenAi}
+
+
+def codec(name: str | None) -> type:
+    """By short name, in any case (none: the default), or module.Class of one's own."""
+    key = (name or "openai").strip().lower()
+    return CODECS[key] if key in CODECS else load(name)
+
+
 def user_tags(messages: Column) -> Column:
     """Distinct tags of the users' messages, in order."""
     return F.array_distinct(F.flatten(F.transform(F.filter(messages, lambda m: m.role == "user"), lambda m: tags(m.content))))

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.registry import load
 
 Detector = Callable[[Column], Column]
 log = logging.getLogger(__name__)
@@ -49,12 +50,12 @@ def register(name: str, detector: Detector) -> None:
 
 
 def resolve_names(names: Iterable[str]) -> list[Detector]:
-    """Detectors by name, in order; names that are unknown are logged and skipped."""
+    """Detectors by short name or module.function, in order; names that can't be loaded are logged and skipped."""
     found = []
     for name in names:
-        if name in REGISTRY:
-            found.append(REGISTRY[name])
-        else:
+        try:
+            found.append(REGISTRY[name] if name in REGISTRY else load(name))
+        except ValueError:
             log.warning("no detector %s: skipped", name)
     return found
 

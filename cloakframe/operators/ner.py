@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.patterns import NO_SPANS
+from ..functions.registry import load
 
 TOKENS = "array<struct<token:string,start:int,end:int,label:string>>"
 
@@ -73,10 +74,8 @@ DECODERS: dict[str, Callable[..., Column]] = {"BIO": decode_bio, "SIMPLE": decod
 
 
 def decoder(name: str) -> Callable[..., Column]:
-    try:
-        return DECODERS[name.upper()]
-    except KeyError:
-        raise ValueError(f"no output adapter {name}; known: {', '.join(DECODERS)}") from None
+    """By short name, or module.function of one's own."""
+    return DECODERS[name.upper()] if name.upper() in DECODERS else load(name)
 
 
 def active_labels(labels: Column, ignored: Column) -> Column:

@@ -7,6 +7,8 @@ fields in a message, of spans in a field.
 
 from __future__ import annotations
 
+from typing import Protocol
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,14 @@ from ..functions.patterns import TAG
 from ..functions.similarity import Resolution
 from .resolve import tag_type
 
+class Store(Protocol):
+    """Where the state tables of sessions are kept: sources.chat.StateTables, or one's own."""
+
+    def append(self, name: str, rows: DataFrame) -> None: ...
+
+    def read(self, name: str, session: str | None = None) -> DataFrame: ...
+
+
 #: Messages in a bucket of the two-step numbering.
 ORDER_BUCKET = 65_536
 
@@ -117,11 +127,16 @@ def restored(text: Column, known: Column) -> Column:
     return F.array_join(pieces, "")
 
 
+def tag_maps(df: DataFrame, originals_table: DataFrame, *, id_col: str, session: str, text: str) -> DataFrame:
+    """(id_col, known): for each row with tags known in its session, the map of these tags to their originals."""
+    used = df.select(F.col(id_col), F.col(session).alias("__session"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(TAG), F.lit(0)))).alias("__tag"))
+    o = originals_table.select(F.col("session").alias("o_session"), F.col("tag").alias("o_tag"), "original")
+    return used.join(o, F.col("__session").eqNullSafe(F.col("o_session")) & (F.col("__tag") == F.col("o_tag"))).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("__tag", "original"))).alias("known"))
+
+
 def restore(df: DataFrame, originals_table: DataFrame, *, id_col: str, session: str, text: str, out: str = "restored") -> DataFrame:
     """df with out: its text, the tags known in its session replaced by their originals."""
-    used = df.select(F.col(id_col).alias("__id"), F.col(session).alias("__session"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(TAG), F.lit(0)))).alias("__tag"))
-    o = originals_table.select(F.col("session").alias("o_session"), F.col("tag").alias("o_tag"), "original")
-    maps = used.join(o, F.col("__session").eqNullSafe(F.col("o_session")) & (F.col("__tag") == F.col("o_tag"))).groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("__tag", "original"))).alias("__known"))
+    maps = tag_maps(df, originals_table, id_col=id_col, session=session, text=text).select(F.col(id_col).alias("__id"), F.col("known").alias("__known"))
     return df.join(maps, F.col(id_col) == F.col("__id"), "left").withColumn(out, F.when(F.col("__known").isNotNull(), restored(F.col(text), F.col("__known"))).otherwise(F.col(text))).drop("__id", "__known")
 
 

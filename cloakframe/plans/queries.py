@@ -286,9 +286,20 @@ def unary_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("conv_id", "turn", F.inline(codec.response_fields(F.col("response"))))
 
 
+def response_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses that hold anonymized texts, restored in the first choice and left alone in the second."""
+    done, tags = _anonymized(spark, sf_dir)
+    message = lambda text: F.struct(F.struct(F.lit("assistant").alias("role"), text.alias("content"), F.lit(None).cast("string").alias("reasoning"), F.array(F.struct(text.alias("text"))).alias("reasoning_details")).alias("message"))
+    t = F.col("anonymized")
+    with_maps = done.select("doc_id", "source", t).join(pseudonyms.tag_maps(done, pseudonyms.originals(tags), id_col="doc_id", session="source", text="anonymized"), "doc_id", "left")
+    response = F.struct(F.array(message(t), message(t)).alias("choices"))
+    back = with_maps.select("doc_id", codec.with_response_fields(F.from_json(F.to_json(response), codec.RESPONSE), lambda x: F.when(F.col("known").isNull(), x).otherwise(pseudonyms.restored(x, F.col("known")))).alias("r"))
+    return back.select("doc_id", F.col("r.choices")[0].message.content.alias("content"), F.col("r.choices")[0].message.reasoning_details[0].text.alias("detail"), (F.col("r.choices")[1].message.content).alias("second"))
+
+
 def sse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as an event stream: a chunk for each turn, a comment, the end."""
-    c = _t(spark, sf_dir, "conversations").withColumn("frame", F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content"), F.array(F.struct(F.col("role").alias("text"))).alias("reasoning_details")).alias("delta"))).alias("choices")))))
+    c = _t(spark, sf_dir, "conversations").withColumn("frame", codec.data_frame(F.col("text"), None, F.array(F.struct(F.col("role").alias("text")))))
     bodies = c.groupBy("conv_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "frame"))), lambda x: x.frame), "\n\n"), F.lit("\n\n: ping\n\ndata: [DONE]\n\n")).alias("body"))
     frames = chat.split_frames(bodies, "body", "conv_id").withColumn("kind", chat.frame_kind(F.col("frame")))
     keyed = frames.select("conv_id", "seq", "kind", F.explode_outer(codec.chunk_fields(chat.frame_chunk(F.when(F.col("kind") == "data", F.col("frame"))))).alias("f"))
@@ -470,7 +481,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "typed_counters": typed_counters, "session_clear": session_clear, "lookup_tags": lookup_tags, "type_index": type_index, "cache_hits": cache_hits, "cache_hit_ratio": cache_hit_ratio,
     "gateway_prompt_inject": gateway_prompt_inject, "request_fields": request_fields, "fields_round_trip": fields_round_trip, "session_id_resolution": session_id_resolution, "provider_routing": provider_routing, "header_projection": header_projection,
     "stream_split": stream_split, "json_decode": json_decode, "blank_guard": blank_guard, "role_filter": role_filter, "token_usage": token_usage, "tag_scan": tag_scan, "ordered_distinct_tags": ordered_distinct_tags, "mock_replies": mock_replies,
-    "unary_restore": unary_restore, "sse_frames": sse_frames, "bio_decode": _decoded(ner.decode_bio), "simple_decode": _decoded(ner.decode_simple), "label_inventory": label_inventory, "argmax_labels": argmax_labels, "ner_spans": ner_spans,
+    "unary_restore": unary_restore, "response_round_trip": response_round_trip, "sse_frames": sse_frames, "bio_decode": _decoded(ner.decode_bio), "simple_decode": _decoded(ner.decode_simple), "label_inventory": label_inventory, "argmax_labels": argmax_labels, "ner_spans": ner_spans,
     "jw_pairs": jw_pairs, "resolve_fuzzy": resolve_fuzzy, "anonymize_fuzzy": anonymize_fuzzy, "nearest_rank_percentiles": nearest_rank_percentiles, "flush_reason_counts": flush_reason_counts, "log_breakdown": log_breakdown, "log_hit_ratio": log_hit_ratio,
     "log_batches": log_batches, "log_restores": log_restores, "log_inferences": log_inferences, "gc_summary": gc_summary, "load_metrics": load_metrics, "live_sessions": live_sessions, "workload": workload, "stream_restore": stream_restore,
 }
@@ -520,6 +531,7 @@ ORACLE_SQL: dict[str, str] = {
     "ordered_distinct_tags": f"""{_ANON_SQL}, o AS (SELECT source, m[i] AS tag, min((doc_id, i)) AS pos FROM (SELECT source, doc_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT source, doc_id, regexp_extract_all(anonymized, {_q(P.TAG)}) AS m FROM anon)) GROUP BY ALL)
       SELECT source AS session, string_agg(tag, ' ' ORDER BY pos) AS tags FROM o GROUP BY source""",
     "unary_restore": "SELECT conv_id, turn, unnest(['content', 'reasoning', 'reasoning_details']) AS key, unnest([text, 'r', 'd1']) AS text FROM conversations WHERE role = 'assistant'",
+    "response_round_trip": f"{_ANON_SQL} SELECT doc_id, text AS content, text AS detail, anonymized AS second FROM anon",
     "sse_frames": """WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq FROM conversations), n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
       SELECT conv_id, CAST(seq AS INTEGER) AS seq, 'data' AS kind, unnest(['content', 'reasoning_details']) AS key, unnest([text, role]) AS text FROM m
       UNION ALL SELECT conv_id, CAST(n AS INTEGER), 'other', NULL, NULL FROM n UNION ALL SELECT conv_id, CAST(n + 1 AS INTEGER), 'done', NULL, NULL FROM n""",

@@ -137,3 +137,16 @@ def test_workload(spark):
     rows = make()
     assert rows == make() and len(rows) == 120 and not any("{" in r[3] for r in rows) and all(r[3] != "free" for r in rows if r[1] == 0)
     assert P.TAG == r"<[A-Z_]+_\d+>"
+
+
+def test_extension_points(spark):
+    from cloakframe.operators import detect
+
+    assert codec.codec(None) is codec.OpenAi is codec.codec("OpenAI") and codec.codec("cloakframe.operators.codec.OpenAi") is codec.OpenAi
+    assert ner.decoder("cloakframe.operators.ner.decode_simple") is ner.decode_simple
+    assert detect.resolve_names(["email", "cloakframe.operators.detect.phone", "no.such.detector", "none"]) == [detect.email, detect.phone]
+    with pytest.raises(ValueError):
+        codec.codec("no.such.Codec")
+    frame = spark.range(1).select(codec.data_frame(F.lit("x"), None, F.array(F.struct(F.lit("d").alias("text")))).alias("f"))
+    assert frame.first().f == 'data: {"choices":[{"delta":{"content":"x","reasoning_details":[{"text":"d"}]}}]}'
+    assert [tuple(x) for x in frame.select(codec.chunk_fields(chat.frame_chunk(F.col("f"))).alias("c")).first().c] == [("content", "x"), ("reasoning_details", "d")]
