@@ -17,6 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 
 @dataclass(frozen=True)
@@ -143,7 +144,9 @@ def scan(documents: DataFrame, *, text_col: str = "text", out_col: str = "spans"
     indexed = {rule: q for rule, q in queries.items() if q != ALL}
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    source = documents.withColumns({"__text": text, "__key": F.xxhash64(text)})  # a key shared by two texts only adds a candidate
+    # the key is over all plain columns, so that copies of one text don't meet in one task; rows that share one only add candidates
+    plain = [F.col(f"`{f.name}`") for f in documents.schema if isinstance(f.dataType, AtomicType)]
+    source = documents.withColumns({"__text": text, "__key": F.xxhash64(*plain)})
     trigrams = sorted({t for q in indexed.values() for term in q for t in term})
     if trigrams:
         has = lambda term: reduce(Column.__and__, (F.array_contains("have", t) for t in sorted(term)))
