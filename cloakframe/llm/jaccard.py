@@ -322,7 +322,9 @@ def ngram_jaccard(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
         open_rows = kept.where("not leaf")
         if open_rows.isEmpty():
             break
-        rows = _split(open_rows.select("id", "key", "n"), texts.join(open_rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), shingle, threshold, step + 1).select("id", "key", "parent_n")
+        members = texts.join(open_rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+        children = _split(open_rows.select("id", "key", "n"), members, shingle, threshold, step + 1).select("id", "key", "parent_n")
+        rows = written(children, "children")  # they are counted, then joined with the counts
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
