@@ -14,8 +14,6 @@ and scores outside a signed 64-bit integer are cut to its range, before they are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
