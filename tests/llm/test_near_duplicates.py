@@ -96,6 +96,17 @@ def test_compact_windows_partition_all_subsequences():
             assert len(inside) == 1 and values[inside[0]] == values[i : j + 1].min()
 
 
+def test_runs_are_compared_as_sets():
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 12, 80).astype(np.uint64)
+    got = passages._distinct(passages._before(values), 7)
+    assert got.tolist() == [len(set(values[i : i + 7].tolist())) for i in range(74)]
+    line, rest = rng.integers(100, 10**9, 12).astype(np.uint64), rng.integers(100, 10**9, 100).astype(np.uint64)
+    often, once = np.concatenate([np.tile(line, 8), rest[:20]]), np.concatenate([line, rest])
+    assert passages.repeated_in(often, once, 46, 0.8) == [] == passages.repeated_in(once, often, 46, 0.8)
+    assert passages.repeated_in(often, often, 46, 0.8) == [(0, len(often))]
+
+
 def test_repeated_passages(spark):
     texts = corpus()
     df = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string").withColumns({"id": F.lit(0), "key": F.lit("clash"), "leader": F.lit(1)})
