@@ -99,12 +99,13 @@ def test_compact_windows_partition_all_subsequences():
 def test_runs_are_compared_as_sets():
     rng = np.random.default_rng(1)
     values = rng.integers(0, 12, 80).astype(np.uint64)
-    got = passages._distinct(passages._before(values), 7)
+    got = passages.Sequence(values, 7).different
     assert got.tolist() == [len(set(values[i : i + 7].tolist())) for i in range(74)]
     line, rest = rng.integers(100, 10**9, 12).astype(np.uint64), rng.integers(100, 10**9, 100).astype(np.uint64)
     often, once = np.concatenate([np.tile(line, 8), rest[:20]]), np.concatenate([line, rest])
-    assert passages.repeated_in(often, once, 46, 0.8) == [] == passages.repeated_in(once, often, 46, 0.8)
-    assert passages.repeated_in(often, often, 46, 0.8) == [(0, len(often))]
+    often, once, n = passages.Sequence(often, 46), passages.Sequence(once, 46), len(often)
+    assert passages.repeated_in(often, once, 0.8) == [] == passages.repeated_in(once, often, 0.8)
+    assert passages.repeated_in(often, often, 0.8) == [(0, n)]
 
 
 def test_repeated_passages(spark):
@@ -112,9 +113,9 @@ def test_repeated_passages(spark):
     df = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string").withColumns({"id": F.lit(0), "key": F.lit("clash"), "leader": F.lit(1)})
     got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in passages.repeated_passages(df).collect()}
     assert len(got) == len(texts)
-    sequences = [passages.shingles(t) for t in texts]
+    sequences = [passages.Sequence(passages.shingles(t), 46) for t in texts]
     for i in range(len(texts)):
-        want = passages.merged([s for j in range(len(texts)) if i != j for s in passages.repeated_in(sequences[i], sequences[j], 46, 0.8)])
+        want = passages.merged([s for j in range(len(texts)) if i != j for s in passages.repeated_in(sequences[i], sequences[j], 0.8)])
         assert bool(want) == bool(got[i]), i
     shared = [got[i] for i in range(len(texts) - 6, len(texts))]
     # runs of 50 words of which four fifths match reach up to five words over the passage at either side
