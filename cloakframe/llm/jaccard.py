@@ -3,8 +3,8 @@
 A document is the set of its 5-word shingles. In each of a number of independent runs a set goes into the buckets of
 the few shingles whose hash, in that run, falls under 1 / (threshold * size of the set): similar sets choose the same
 shingles. A bucket with too many members is split again, by shingles chosen under the path so far, and so on; small
-buckets, and large ones that splitting does not shrink (large groups of near copies), are compared by brute force on
-minhash sketches, in blocks of bounded size. The number of runs follows from the target recall: with branching
+buckets, and large ones whose members are alike on average (large groups of near copies, which no split would part),
+are compared by brute force on minhash sketches, in blocks of bounded size. The number of runs follows from the target recall: with branching
 1 / threshold a pair at the threshold shares a path of two steps in a run with probability 0.47 at least.
 
 Pairs whose sketches agree far below the threshold already join two documents to one candidate group (linear in the
@@ -23,11 +23,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -36,6 +37,9 @@ from .components import components
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Members above which a bucket is split, and steps of a path after which it is compared as it is.
 SPLIT_ROWS, MOST_STEPS = 1024, 4
+#: Smallest hashes kept of each set to tell how alike a bucket's members are, random signs of each, and from which mean
+#: similarity splitting is idle: a large group of near copies.
+MARKS, SIGNS, ALIKE = 4, 8, 0.2
 #: Rows of a block in a brute-force comparison of sets, and of sketches.
 BLOCK_ROWS, SKETCH_BLOCK_ROWS = 512, 2048
 #: Slots of a sketch, and the share of equal slots from which a pair goes to one candidate group: four standard errors
@@ -142,16 +146,17 @@ def _read_sets(docs: DataFrame, shingle: int, threshold: float, recall: float) -
             for ident, text in zip(batch["id"], batch["text"], strict=True):
                 own = shingle_set(text, shingle)
                 if len(own):
-                    rows.append((ident, len(own), xxhash.xxh3_128_digest(own.tobytes()), first_keys(own, n_runs, threshold)))
+                    marks = (mixes(own, range(900, 900 + MARKS)).min(1) >> np.uint64(40)).astype(np.int32)
+                    rows.append((ident, len(own), xxhash.xxh3_128_digest(own.tobytes()), first_keys(own, n_runs, threshold), marks))
                 else:
-                    rows.append((ident, 0, b"", np.zeros(0, np.int64)))
-            yield pd.DataFrame(rows, columns=["id", "size", "print", "keys"])
+                    rows.append((ident, 0, b"", np.zeros(0, np.int64), np.zeros(0, np.int32)))
+            yield pd.DataFrame(rows, columns=["id", "size", "print", "keys", "marks"])
 
-    return docs.mapInPandas(read, "id long, size int, print binary, keys array<long>")
+    return docs.mapInPandas(read, "id long, size int, print binary, keys array<long>, marks array<int>")
 
 
 def _split(open_rows: DataFrame, texts: DataFrame, shingle: int, threshold: float, step: int) -> DataFrame:
-    """Children (key, parent, n: the parent's members) of too large buckets, for each member."""
+    """Children (key) of too large buckets, for each member."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -159,13 +164,24 @@ def _split(open_rows: DataFrame, texts: DataFrame, shingle: int, threshold: floa
             for ident, text, parents in zip(batch["id"], batch["text"], batch["parents"], strict=True):
                 own = shingle_set(text, shingle)
                 for parent in parents:
-                    seed = (int(parent["key"]) & 0xFFFFFFFFFFFF) * 8 + step
-                    for key in mix(chosen(own, seed, threshold), seed + 1).view(np.int64):
-                        rows.append((ident, key, parent["key"], parent["n"]))
-            yield pd.DataFrame(rows, columns=["id", "key", "parent", "parent_n"])
+                    seed = (int(parent) & 0xFFFFFFFFFFFF) * 8 + step
+                    rows += [(ident, key) for key in mix(chosen(own, seed, threshold), seed + 1).view(np.int64)]
+            yield pd.DataFrame(rows, columns=["id", "key"])
 
-    grouped = open_rows.groupBy("id").agg(F.collect_list(F.struct("key", "n")).alias("parents"))  # a document's few open buckets
-    return grouped.join(texts, "id").select("id", "text", "parents").mapInPandas(split, "id long, key long, parent long, parent_n long")
+    grouped = open_rows.groupBy("id").agg(F.collect_list("key").alias("parents"))  # a document's few open buckets
+    return grouped.join(texts, "id").select("id", "text", "parents").mapInPandas(split, "id long, key long")
+
+
+def _alike(rows: DataFrame, large: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, alike): mean similarity of the members of large buckets (key, n), from how often their marks agree.
+
+    The squared sum of random signs of the marks is, on average, the number of pairs that agree: sums are all it takes."""
+    marked = rows.join(large, "key").join(reps.select("id", "marks"), "id").select("key", "n", *(F.xxhash64(F.get("marks", F.lit(k)), F.lit(k)).alias(f"h{k}") for k in range(MARKS)))
+    sign = lambda k, r: F.shiftright(F.col(f"h{k}"), r).bitwiseAND(F.lit(1)) * 2 - 1
+    sums = [(k, r) for k in range(MARKS) for r in range(SIGNS)]
+    added = marked.groupBy("key").agg(F.max("n").alias("n"), *(F.sum(sign(k, r)).cast("double").alias(f"s{k}_{r}") for k, r in sums))
+    pairs = reduce(Column.__add__, (F.col(f"s{k}_{r}") * F.col(f"s{k}_{r}") for k, r in sums))
+    return added.select("key", (pairs / len(sums) / F.col("n") / F.col("n")).alias("alike"))
 
 
 def _groups(it: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -306,25 +322,24 @@ def ngram_jaccard(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     shingle set), n_links (other documents of similarity `threshold` or more) and n_text_links (other shingle sets)."""
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
     sets = written(_read_sets(texts, shingle, threshold, recall), "sets")
-    reps = sets.where("size > 0").groupBy("print").agg(F.min(F.struct("id", "size", "keys")).alias("r"), F.count("*").alias("copies")).select("print", "r.*", "copies")
+    reps = sets.where("size > 0").groupBy("print").agg(F.min(F.struct("id", "size", "keys", "marks")).alias("r"), F.count("*").alias("copies")).select("print", "r.*", "copies")
     reps = written(reps, "representatives")
 
     # the recursion: leaves are (key, n, id)
-    rows = reps.select("id", F.explode("keys").alias("key"), F.lit(0).cast("long").alias("parent_n"))
+    rows = reps.select("id", F.explode("keys").alias("key"))
     leaves = None
     for step in range(MOST_STEPS):
-        counted = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("parent_n").alias("parent_n")).where("n > 1")
-        # a child that keeps a third of its parent's members is a large group of similar sets: splitting on is idle
-        leaf = (F.col("n") <= SPLIT_ROWS) | (F.col("n") * 3 > F.col("parent_n")) & (F.col("parent_n") > 0) | F.lit(step == MOST_STEPS - 1)
-        kept = written(rows.drop("parent_n").join(counted.select("key", "n", leaf.alias("leaf")), "key"), "buckets")
+        counted = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        alike = _alike(rows, counted.where(F.col("n") > SPLIT_ROWS), reps)
+        leaf = (F.col("n") <= SPLIT_ROWS) | (F.coalesce("alike", F.lit(0.0)) >= ALIKE) | F.lit(step == MOST_STEPS - 1)
+        kept = written(rows.join(counted.join(alike, "key", "left").select("key", "n", leaf.alias("leaf")), "key"), "buckets")
         done = kept.where("leaf").select("key", "n", "id")
         leaves = done if leaves is None else leaves.unionByName(done)
         open_rows = kept.where("not leaf")
         if open_rows.isEmpty():
             break
         members = texts.join(open_rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-        children = _split(open_rows.select("id", "key", "n"), members, shingle, threshold, step + 1).select("id", "key", "parent_n")
-        rows = written(children, "children")  # they are counted, then joined with the counts
+        rows = written(_split(open_rows.select("id", "key"), members, shingle, threshold, step + 1), "children")  # they are counted, then joined with the counts
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
