@@ -108,6 +108,46 @@ def test_runs_are_compared_as_sets():
     assert passages.repeated_in(often, often, 0.8) == [(0, n)]
 
 
+def plain_spans(own, other, width, threshold):
+    """Runs of own against all runs of other of `width` or more."""
+    own, other = own.tolist(), other.tolist()
+    theirs = {frozenset(other[i:j]) for i in range(len(other) - width + 1) for j in range(i + width, len(other) + 1)}
+    out = []
+    for i in range(len(own) - width + 1):
+        run = set(own[i : i + width])
+        if any(len(run & t) >= threshold * len(run | t) - 1e-9 for t in theirs):
+            out.append((i, i + width))
+    return passages.merged(out)
+
+
+def test_runs_are_found_wherever_they_stand():
+    rng = np.random.default_rng(3)
+    new = lambda n: rng.integers(10**6, 10**9, n).astype(np.uint64)
+    run = new(50)
+    stray = np.concatenate([run[20:21], new(100), run, new(100), run[30:31]])
+    other = np.concatenate([new(30), run, new(30)])
+    own, leader = passages.Sequence(other, 46), passages.Sequence(stray, 46)
+    covered = lambda spans, low, high: any(s <= low and high <= e for s, e in spans)
+    assert covered(passages.repeated_in(own, leader, 0.8), 30, 80)
+    assert covered(passages.repeated_in(leader, own, 0.8), 101, 151)
+    near = run.copy()
+    near[[10, 25]] = new(2)
+    far = np.concatenate([run[10:11], new(100), near, new(100), run[25:26]])
+    assert covered(passages.repeated_in(own, passages.Sequence(far, 46), 0.8), 30, 80)
+    differs = 0
+    for n in range(300):
+        width, kinds = int(rng.integers(4, 9)), int(rng.integers(3, 40))
+        base = rng.integers(0, kinds, int(rng.integers(width, 40))).astype(np.uint64)
+        a, b = base.copy(), np.concatenate([rng.integers(0, kinds, int(rng.integers(0, 8))).astype(np.uint64), base])
+        for x in (a, b):
+            x[rng.integers(0, len(x), len(x) // 6)] = rng.integers(0, kinds, len(x) // 6)
+        for x, y in ((a, b), (b, a)):
+            want = plain_spans(x, y, width, 0.8)
+            differs += bool(want)
+            assert passages.merged(passages.repeated_in(passages.Sequence(x, width), passages.Sequence(y, width), 0.8)) == want, n
+    assert differs > 100
+
+
 def test_repeated_passages(spark):
     texts = corpus()
     df = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string").withColumns({"id": F.lit(0), "key": F.lit("clash"), "leader": F.lit(1)})
