@@ -148,6 +148,21 @@ def test_runs_are_found_wherever_they_stand():
     assert differs > 100
 
 
+def test_pairs_of_two_collisions_are_compared(spark):
+    """Near copies at the threshold under exactly two of the hash functions; four of five shingles are common."""
+    rng = np.random.default_rng(12)
+    texts: list[str] = []
+    while len(texts) < 24:
+        one = words_of(rng, 50)
+        other = [f"x{len(texts)}", *one[1:-4], *words_of(rng, 4)]
+        a, b = passages.shingles(" ".join(one)), passages.shingles(" ".join(other))
+        least = [jaccard.mixes(x, range(512, 512 + passages.FUNCTIONS)).min(1) for x in (a, b)]
+        if (least[0] == least[1]).sum() == 2:
+            texts += [" ".join(one), " ".join(other)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in passages.repeated_passages(df).collect()} == {n: n - n % 2 for n in range(24)}
+
+
 def test_repeated_passages(spark):
     texts = corpus()
     df = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string").withColumns({"id": F.lit(0), "key": F.lit("clash"), "leader": F.lit(1)})
