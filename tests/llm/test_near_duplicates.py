@@ -163,6 +163,25 @@ def test_pairs_of_two_collisions_are_compared(spark):
     assert {r.doc_id: r.class_id for r in passages.repeated_passages(df).collect()} == {n: n - n % 2 for n in range(24)}
 
 
+def test_passages_of_members_that_do_not_lead(spark):
+    """A sentence common to many documents; pairs in the middle of the ids share a longer passage around it."""
+    rng = np.random.default_rng(21)
+    common, texts = words_of(rng, 40), []
+    for _ in range(40):
+        texts.append([*words_of(rng, 60), *common, *words_of(rng, 60)])
+    for n in range(10, 30, 2):
+        passage = [*words_of(rng, 5), *common, *words_of(rng, 5)]
+        for m in (n, n + 1):
+            texts[m] = [*words_of(rng, 60), *passage, *words_of(rng, 60)]
+    df = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in passages.repeated_passages(df).collect()}
+    assert {n: r.class_id for n, r in got.items()} == {n: n - n % 2 if 10 <= n < 30 else n for n in range(40)}
+    sequences = [passages.Sequence(passages.shingles(" ".join(t)), 46) for t in texts]
+    for n, r in got.items():
+        want = passages.merged([s for m in range(40) if m != n for s in passages.repeated_in(sequences[n], sequences[m], 0.8)])
+        assert [(s.start, s.end) for s in r.spans] == [(a, b + 4) for a, b in want]
+
+
 def test_repeated_passages(spark):
     texts = corpus()
     df = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string").withColumns({"id": F.lit(0), "key": F.lit("clash"), "leader": F.lit(1)})
