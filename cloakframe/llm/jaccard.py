@@ -5,7 +5,7 @@ the few shingles whose hash, in that run, falls under 1 / (threshold * size of t
 shingles. A bucket with too many members is split again, by shingles chosen under the path so far, and so on; small
 buckets, and large ones whose members are alike on average (large groups of near copies, which no split would part),
 are compared by brute force on minhash sketches, in blocks of bounded size. The number of runs follows from the target recall: with branching
-1 / threshold a pair at the threshold shares a path of two steps in a run with probability 0.47 at least.
+1 / threshold a pair at the threshold shares a path of four steps, the most, in a run with probability 0.31 at least.
 
 Pairs whose sketches agree far below the threshold already join two documents to one candidate group (linear in the
 bucket's rows: only a spanning forest is emitted). Inside the candidate groups every pair is compared exactly, in
@@ -114,9 +114,10 @@ def sketch(own: np.ndarray) -> bytes:
 
 
 def runs(threshold: float, recall: float) -> int:
-    one = 1 - math.exp(-1)
-    two = 1 - math.exp(-one)
-    return math.ceil(math.log(1 - recall) / math.log(1 - two))
+    shared = 1.0
+    for _ in range(MOST_STEPS):
+        shared = 1 - math.exp(-shared)
+    return math.ceil(math.log(1 - recall) / math.log(1 - shared))
 
 
 def chosen(own: np.ndarray, seed: int, threshold: float) -> np.ndarray:

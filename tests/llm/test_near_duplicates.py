@@ -148,6 +148,14 @@ def test_runs_are_found_wherever_they_stand():
     assert differs > 100
 
 
+def test_runs_suffice_for_the_longest_path():
+    shared = 1.0
+    for _ in range(jaccard.MOST_STEPS):
+        shared = 1 - np.exp(-shared)
+    assert (1 - shared) ** jaccard.runs(0.8, 0.9999) <= 1e-4
+    assert jaccard.first_keys(np.arange(1, 2000, dtype=np.uint64), jaccard.runs(0.8, 0.9999), 0.8).size
+
+
 def test_pairs_of_two_collisions_are_compared(spark):
     """Near copies at the threshold under exactly two of the hash functions; four of five shingles are common."""
     rng = np.random.default_rng(12)
