@@ -361,9 +361,9 @@ def jw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)])
 
-    c = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    other = c.select((F.col("s_suppkey") - 1).alias("s_suppkey"), F.col("s_name").alias("other"))
-    return c.join(other, "s_suppkey").select("s_suppkey", "s_name", "other", similarity("s_name", "other").alias("score"))
+    c = _t(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    other = c.select((F.col("c_custkey") - 1).alias("c_custkey"), F.col("c_name").alias("other"))
+    return c.join(other, "c_custkey").select("c_custkey", "c_name", "other", similarity("c_name", "other").alias("score"))
 
 
 def resolve_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,3 +36,12 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries()) and set(QUERIES) <= set(e.queries())
+
+
+def test_jw_pairs_reads_all_customers(spark, sf_dir):
+    from cloakframe.functions.similarity import jaro_winkler
+    from cloakframe.plans.queries import jw_pairs
+
+    names = {r.c_custkey: r.c_name for r in spark.read.parquet(f"{sf_dir}/customer.parquet").collect()}
+    got = {r.c_custkey: (r.c_name, r.other, r.score) for r in jw_pairs(spark, sf_dir).collect()}
+    assert got == {k: (v, names[k + 1], jaro_winkler(v, names[k + 1])) for k, v in names.items() if k + 1 in names}
