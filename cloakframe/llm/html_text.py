@@ -6,7 +6,8 @@ visible text once. Blocks start on lines of their own, paragraphs and headings a
 get a dash or their number, cells of a table line up in columns, preformatted text keeps its blanks.
 
 Defined results: null gives null, an empty page an empty text; malformed markup never fails and unclosed elements end
-with the page. Whole pages are read, however long or deeply nested.
+with the page. Text that aria-hidden marks is seen, and so are formulas and the labels of drawings; a visible part of an
+invisible element is. The options of a select are left out, as controls and not text. Whole pages are read, however long or deeply nested.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 # Element names of the HTML standard by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TEXT = frozenset("script style xmp iframe noembed noframes title textarea".split())
-HIDDEN = frozenset("head script style template noscript noembed noframes iframe object canvas svg math audio video datalist select area base link meta title param source track dialog".split())
+HIDDEN = frozenset("head script style template noscript noembed noframes iframe object canvas audio video datalist select area base link meta title param source track dialog defs desc symbol metadata annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul xmp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 #: Which open elements a start tag closes, and what ends the search for them.
@@ -42,7 +43,8 @@ _SCOPE = frozenset({"table", "td", "th", "caption", "html", "template", "button"
 _HEAD_PARTS = frozenset("base link meta title script style template noscript".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
-_NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -165,7 +167,13 @@ def build(source: str) -> Node:
 
 def hidden(node: Node) -> bool:
     a = node.attrs
-    return node.name in HIDDEN and not (node.name == "dialog" and "open" in a) or bool(a) and ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or node.name == "input" and a.get("type", "").lower() == "hidden" or bool(_NO_DISPLAY.search(a.get("style", ""))))
+    return node.name in HIDDEN and not (node.name == "dialog" and "open" in a) or bool(a) and ("hidden" in a or node.name == "input" and a.get("type", "").lower() == "hidden" or bool(_NO_DISPLAY.search(a.get("style", ""))))
+
+
+def visible(node: Node, parent: bool) -> bool:
+    """Whether an element's own text is seen: as its parent's, unless its style says otherwise."""
+    said = _VISIBILITY.findall(node.attrs.get("style", "")) if node.attrs else []
+    return said[-1].lower() == "visible" if said else parent
 
 
 class _Out:
@@ -231,18 +239,19 @@ def render(root: Node) -> str:
     outs: list[tuple[_Out, list]] = []  # what each open cell interrupts: the text and lists around its table
     tables: list[list[list[str]]] = []
     lists: list[int | None] = []
-    pre = 0
+    pre, seen = 0, [True]
     steps: list[tuple[bool, Node | str]] = [(True, root)]
     while steps:
         opening, node = steps.pop()
         if isinstance(node, str):
-            if node.strip() or len(tables) == len(outs):  # blanks between the parts of a table say nothing
+            if seen[-1] and (node.strip() or len(tables) == len(outs)):  # blanks between the parts of a table say nothing
                 out.text(node, pre > 0)
             continue
         name = node.name
         if opening:
             if hidden(node):
                 continue
+            shows = visible(node, seen[-1])
             if name == "br":
                 out.newline(keep=not out.line)
                 continue
@@ -251,7 +260,7 @@ def render(root: Node) -> str:
                 continue
             if name in ("img", "input"):
                 shown = node.attrs.get("alt" if name == "img" else "value", "")
-                if shown.strip():
+                if shows and shown.strip():
                     out.text(shown, False)
                 continue
             if name == "table":
@@ -272,17 +281,19 @@ def render(root: Node) -> str:
                 elif name == "li":
                     depth = "  " * max(0, len(lists) - 1)
                     if lists and lists[-1] is not None:
-                        out.prefix = f"{depth}{lists[-1]}. "
+                        out.prefix = f"{depth}{lists[-1]}. " if shows else ""
                         lists[-1] += 1
                     else:
-                        out.prefix = f"{depth}- "
+                        out.prefix = f"{depth}- " if shows else ""
                 elif name == "dd":
                     out.prefix = "  "
             if name in ("pre", "textarea", "xmp", "listing"):
                 pre += 1
+            seen.append(shows)
             steps.append((False, node))
             steps += [(True, kid) for kid in reversed(node.kids)]
             continue
+        seen.pop()
         if name in ("pre", "textarea", "xmp", "listing"):
             pre -= 1
         if name == "table":

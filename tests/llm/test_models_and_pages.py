@@ -118,6 +118,15 @@ def test_page_texts(source, text):
     assert html_text.extract(source) == text
 
 
+@pytest.mark.parametrize(("source", "text"), [
+    ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "x=2"), ("<svg><title>no</title><defs><text>no</text></defs><text>axis</text></svg> y", "axis y"),
+    ("<i aria-hidden='true'>icon</i> y", "icon y"), ("<div style='visibility: hidden'>no <b style='visibility:visible'>yes</b> no</div>", "yes"),
+    ("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>yes</ul>", "- yes"), ("<div style='visibility:hidden'><img alt='no'></div>a", "a"),
+])
+def test_what_browsers_show_is_kept(source, text):
+    assert html_text.extract(source) == text
+
+
 def test_pages_never_fail(spark):
     rng = np.random.default_rng(2)
     parts = ["<", ">", "</", "table", "tr", "td", "<p>", "</div>", "<!--", "-->", "&amp", "'", '"', "=", " x", "<li>", "</table>", "<td>", "<select>", "<![CDATA[", "<svg/>", "\x00"]
