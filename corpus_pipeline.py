@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages: language, near duplicates, benchmark leaks, secrets, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
-of documents. Rows with a null id are dropped with the near duplicates, as no group can name them.
+of documents. Stages that join do so by a key of the row's id and text, so that rows of a null id, or of one id and
+different texts, are documents of their own.
 """
 
 from __future__ import annotations
@@ -24,16 +25,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.select(*COLUMNS, langid.predict(F.col("text"), model).alias("p")).where(~F.col("p.rejected")).select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The columns of documents and `row_key`, equal for rows of equal id and text alone; nulls count as values."""
+    row = F.struct(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("text").isNull(), F.coalesce("text", F.lit("")))
+    return docs.select(*COLUMNS, F.xxhash64(row).alias("row_key"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id."""
-    found = jaccard.ngram_jaccard(docs).where(F.col("class_id") == F.col("doc_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).dropDuplicates(["doc_id"]).join(found, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each group of near copies the document of the smallest id, a null one last."""
+    rows = keyed(docs).dropDuplicates(["row_key"])
+    classes = jaccard.ngram_jaccard(rows, id_col="row_key").select("row_key", "class_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    kept = rows.select("row_key", "doc_id").join(classes, "row_key").groupBy("class_id").agg(F.min(order).alias("first")).select("first.row_key")
+    return rows.join(kept, "row_key", "left_semi").select(*COLUMNS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of ten words of a benchmark item."""
-    leaks = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    rows = keyed(docs)
+    leaks = decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), id_col="row_key").where("contaminated").select("row_key").distinct()
+    return rows.join(leaks, "row_key", "left_anti").select(*COLUMNS)
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

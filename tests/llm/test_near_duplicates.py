@@ -248,3 +248,17 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir):
             got.collect()
     clean = {r.doc_id: r for r in p.secret_spans(spark, docs, sf_dir).collect()}
     assert clean[3].text == "[SECRET] here" and clean[3].n_chars == 13
+
+
+def test_rows_of_one_id_or_none_are_kept(spark, sf_dir):
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(31)
+    one, two, three, four = (" ".join(words_of(rng, 40)) for _ in range(4))
+    leak = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 200").first().text
+    rows = [(1, one), (1, two), (1, two), (2, two), (None, three), (None, four), (None, four), (None, one), (3, leak), (3, "a b c d e f g"), (None, leak + " more words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = p.near_duplicates(spark, docs, sf_dir)
+    assert {(r.doc_id, r.text) for r in kept.collect()} >= {(1, one), (1, two), (None, three), (None, four), (3, "a b c d e f g")}
+    assert sum(r.text in (one, two, three, four) for r in kept.collect()) == 4
+    assert {(r.doc_id, r.text) for r in p.benchmark_leaks(spark, docs, sf_dir).collect()} == {r for r in rows if leak not in r[1]}
