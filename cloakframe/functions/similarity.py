@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 from typing import Protocol
 
+import numpy as np
+
 from .registry import load
 
 
@@ -65,6 +67,61 @@ class JaroWinkler:
         return found
 
 
+class _Known:
+    """Known values in the order they were added, looked up by any strategy."""
+
+    def __init__(self, resolution: Resolution):
+        self.resolution, self.values = resolution, {}
+
+    def add(self, value: str) -> None:
+        self.values[value] = None
+
+    def find(self, kind: str, value: str | None) -> str | None:
+        return self.resolution(kind, value, self.values)
+
+
+class _Similar(_Known):
+    """The same for Jaro-Winkler: values whose lengths and characters rule the threshold out are never scored.
+
+    Common characters are at most those that both have, counted in 64 classes; the bound of the score follows."""
+
+    def __init__(self, resolution: JaroWinkler):
+        super().__init__(resolution)
+        self.listed: list[str] = []
+        self.bags, self.lengths = np.zeros((64, 64), np.uint8), np.zeros(64, np.int64)
+
+    @staticmethod
+    def _bag(value: str) -> np.ndarray:
+        return np.bincount([ord(c) & 63 for c in value], minlength=64).clip(max=255).astype(np.uint8)
+
+    def add(self, value: str) -> None:
+        if value in self.values or not value or not value.strip():
+            return
+        n = len(self.listed)
+        if n == len(self.bags):
+            self.bags, self.lengths = np.concatenate([self.bags, np.zeros_like(self.bags)]), np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        self.bags[n], self.lengths[n] = self._bag(value), len(value)
+        self.values[value] = None
+        self.listed.append(value)
+
+    def find(self, kind: str, value: str | None) -> str | None:
+        n = len(self.listed)
+        if value is None or not value.strip() or not n:
+            return None
+        if len(value) > 255:  # classes are counted to 255
+            return super().find(kind, value)
+        common = np.minimum(self.bags[:n], self._bag(value)).sum(1, dtype=np.int64)
+        common[self.lengths[:n] > 255] = len(value)
+        jaro = np.where(common > 0, (common / len(value) + common / self.lengths[:n] + 1) / 3, 0)
+        hopeful = np.flatnonzero(jaro + 0.4 * (1 - jaro).clip(min=0) >= self.resolution.threshold - 1e-9)
+        return self.resolution(kind, value, (self.listed[at] for at in hopeful.tolist()))
+
+
+def similarity_index(resolution: Resolution) -> _Known:
+    """Known values to look new ones up in; add() and find()."""
+    return _Similar(resolution) if type(resolution) is JaroWinkler else _Known(resolution)
+
+
 class ByType:
     """Similarity for the listed types, equality for the others."""
 

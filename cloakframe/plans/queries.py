@@ -18,6 +18,7 @@ from ..functions.similarity import JaroWinkler, jaro_winkler
 from ..operators import analytics, codec, detect, ner, pseudonyms, routing
 from ..operators.resolve import resolve
 from ..sources import chat
+from ..storage import new_folder
 from ..streaming import restore as streams
 from . import pipeline
 
@@ -37,7 +38,7 @@ def _q(s: str) -> str:
 
 def _span_query(detector: detect.Detector, table: str = "documents", key: str = "doc_id", text: str = "text"):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _t(spark, sf_dir, table).select(key, F.explode(detector(F.col(text))).alias("s")).select(key, "s.start", F.col("s.end").alias("stop"), "s.type", "s.value")
+        return _t(spark, sf_dir, table).select(key, F.explode_outer(detector(F.col(text))).alias("s")).where("s is not null").select(key, "s.start", F.col("s.end").alias("stop"), "s.type", "s.value")
 
     return run
 
@@ -84,7 +85,7 @@ def _model_spans(text: Column) -> Column:
 def _resolved(strategy: ConflictStrategy):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = F.col("text")
-        found = _t(spark, sf_dir, "documents").select("doc_id", F.explode(resolve(detect.chain(t, EXACT.filters), _model_spans(t), strategy)).alias("s"))
+        found = _t(spark, sf_dir, "documents").select("doc_id", F.explode_outer(resolve(detect.chain(t, EXACT.filters), _model_spans(t), strategy)).alias("s")).where("s is not null")
         return found.select("doc_id", "s.start", F.col("s.end").alias("stop"), "s.type", "s.value")
 
     return run
@@ -111,6 +112,7 @@ _RESOLVED = "SELECT doc_id, start, stop, type, value FROM kept"
 _TAGS_SQL = f"""WITH {_KEPT},
 firsts AS (SELECT source AS session, type, value, min((doc_id, start)) AS pos FROM kept JOIN documents USING (doc_id) GROUP BY ALL),
 tags AS (SELECT session, type, value, '<' || type || '_' || row_number() OVER (PARTITION BY session, type ORDER BY pos) || '>' AS tag FROM firsts)"""
+_TAGS2_SQL = _TAGS_SQL.replace("min((doc_id, start))", "min((doc_id % 2, doc_id, start))")  # the even documents came first
 _ANON_SQL = f"""{_TAGS_SQL},
 t AS (SELECT k.doc_id, k.start, k.stop, tag, lag(k.stop, 1, 0) OVER (PARTITION BY k.doc_id ORDER BY k.start) AS before, max(k.stop) OVER (PARTITION BY k.doc_id) AS final
   FROM kept k JOIN documents d USING (doc_id) JOIN tags ON tags.session = d.source AND tags.type = k.type AND tags.value = k.value),
@@ -118,6 +120,9 @@ a AS (SELECT doc_id, string_agg(substring(text, before + 1, start - before) || t
 anon AS (SELECT d.doc_id, d.source, d.text, coalesce(a.anonymized, d.text) AS anonymized FROM documents d LEFT JOIN a USING (doc_id))"""
 
 
+_ANON2_SQL = _ANON_SQL.replace(_TAGS_SQL, _TAGS2_SQL)
+
+
 def _anonymized(spark: SparkSession, sf_dir: str, config: Config = EXACT) -> tuple[DataFrame, DataFrame]:
     return pipeline.anonymize(_t(spark, sf_dir, "documents").select("doc_id", "source", "text"), config, id_col="doc_id", session="source")
 
@@ -141,6 +146,44 @@ def roundtrip_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("source").agg(F.count("*").alias("n"), F.sum((F.col("text") == F.col("restored")).cast("long")).alias("n_equal"), F.sum((F.col("text") != F.col("anonymized")).cast("long")).alias("n_changed"))
 
 
+def _two_batches(spark: SparkSession, sf_dir: str) -> tuple[chat.StateTables, DataFrame]:
+    """State tables that the even documents were anonymized into, and all documents anonymized by way of them."""
+    state = chat.StateTables(spark, new_folder(spark, "state"), parts=4)
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    one = lambda df: pipeline.anonymize_cached(df, EXACT, state, id_col="doc_id", session="source")
+    one(docs.where("doc_id % 2 = 0"))
+    return state, one(docs)
+
+
+def assign_tags_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tags of two batches of a session, the even documents and then all: numbers go on."""
+    return _two_batches(spark, sf_dir)[0].read("tags").select("session", "type", "value", "tag")
+
+
+def anonymize_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_batches(spark, sf_dir)[1].select("doc_id", "anonymized")
+
+
+def state_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored originals of two batches without the sessions src1 and src2; src10 to src19 stay."""
+    state, _ = _two_batches(spark, sf_dir)
+    state.clear(spark.createDataFrame([("src1",), ("src2",)], "session string"))
+    return state.read("originals")
+
+
+def sse_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anonymized documents streamed in frames of 40 characters, a comment between them and [DONE] at the end, restored."""
+    done, tags = _anonymized(spark, sf_dir)
+    pieces = done.select("source", "doc_id", F.posexplode(F.regexp_extract_all("anonymized", F.lit(r"(?s).{1,40}"), F.lit(0))).alias("seq", "piece"))
+    ids = [F.col("source").alias("session"), F.col("doc_id").cast("string").alias("stream")]
+    frames = pieces.select(*ids, (F.col("seq") * 2).cast("long").alias("seq"), codec.data_frame(F.col("piece")).alias("frame"))
+    frames = frames.unionByName(pieces.select(*ids, (F.col("seq") * 2 + 1).cast("long").alias("seq"), F.when(F.col("seq") % 2 == 0, ": ping").otherwise("data: {broken").alias("frame")))
+    frames = frames.unionByName(done.select(*ids, F.lit(2**40).alias("seq"), F.lit("data: [DONE]").alias("frame")))
+    back = streams.restore_frames(frames, pseudonyms.originals(tags))
+    others = back.where("kind <> 'data'").groupBy("session", "stream").agg(F.count_if(F.col("frame") == "data: [DONE]").alias("n_done"), F.count_if(F.col("frame").isin(": ping", "data: {broken")).alias("n_other"))
+    return others.join(streams.frames_text(back), ["session", "stream"]).select(F.col("stream").cast("long").alias("doc_id"), "text", "n_done", "n_other")
+
+
 def typed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _anonymized(spark, sf_dir)[1].groupBy("session", "type").agg(F.countDistinct("tag").alias("n"))
 
@@ -253,7 +296,10 @@ def blank_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def role_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.count("*").alias("n"))
+    """How many different tags the users of each conversation name, every turn naming its own, its role and one of its neighbour's."""
+    named = F.concat_ws(" ", F.concat(F.lit("<TURN_"), F.col("turn"), F.lit(">")), F.concat(F.lit("<"), F.upper("role"), F.lit("_1>")), F.concat(F.lit("<TURN_"), F.floor(F.col("turn") / 4), F.lit(">")))
+    turns = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", named.alias("content")))).alias("messages"))
+    return turns.select("conv_id", F.size(codec.user_tags(F.col("messages"))).cast("long").alias("n"))
 
 
 def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -480,6 +526,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "text_hash": text_hashes, "dedupe_by_hash": dedupe_by_hash, "assign_tags_exact": assign_tags_exact, "anonymize_documents": anonymize_documents, "restore_documents": restore_documents, "roundtrip_check": roundtrip_check,
     "typed_counters": typed_counters, "session_clear": session_clear, "lookup_tags": lookup_tags, "type_index": type_index, "cache_hits": cache_hits, "cache_hit_ratio": cache_hit_ratio,
     "gateway_prompt_inject": gateway_prompt_inject, "request_fields": request_fields, "fields_round_trip": fields_round_trip, "session_id_resolution": session_id_resolution, "provider_routing": provider_routing, "header_projection": header_projection,
+    "assign_tags_incremental": assign_tags_incremental, "anonymize_cached": anonymize_cached, "state_clear": state_clear, "sse_restore": sse_restore,
     "stream_split": stream_split, "json_decode": json_decode, "blank_guard": blank_guard, "role_filter": role_filter, "token_usage": token_usage, "tag_scan": tag_scan, "ordered_distinct_tags": ordered_distinct_tags, "mock_replies": mock_replies,
     "unary_restore": unary_restore, "response_round_trip": response_round_trip, "sse_frames": sse_frames, "bio_decode": _decoded(ner.decode_bio), "simple_decode": _decoded(ner.decode_simple), "label_inventory": label_inventory, "argmax_labels": argmax_labels, "ner_spans": ner_spans,
     "jw_pairs": jw_pairs, "resolve_fuzzy": resolve_fuzzy, "anonymize_fuzzy": anonymize_fuzzy, "nearest_rank_percentiles": nearest_rank_percentiles, "flush_reason_counts": flush_reason_counts, "log_breakdown": log_breakdown, "log_hit_ratio": log_hit_ratio,
@@ -512,6 +559,9 @@ ORACLE_SQL: dict[str, str] = {
     "typed_counters": f"{_TAGS_SQL} SELECT session, type, count(DISTINCT tag) AS n FROM tags GROUP BY ALL", "type_index": f"{_TAGS_SQL} SELECT session, type, count(*) AS n_values FROM tags GROUP BY ALL",
     "session_clear": f"{_TAGS_SQL} SELECT session, tag, value AS original FROM tags WHERE session NOT IN ('src1', 'src2')",
     "lookup_tags": f"{_TAGS_SQL} SELECT 'src0' AS session, v.type, v.value, tags.tag FROM (SELECT DISTINCT type, value FROM tags) v LEFT JOIN tags ON tags.session = 'src0' AND tags.type = v.type AND tags.value = v.value",
+    "assign_tags_incremental": f"{_TAGS2_SQL} SELECT session, type, value, tag FROM tags", "anonymize_cached": f"{_ANON2_SQL} SELECT doc_id, anonymized FROM anon",
+    "state_clear": f"{_TAGS2_SQL} SELECT session, tag, value AS original FROM tags WHERE session NOT IN ('src1', 'src2')",
+    "sse_restore": "SELECT doc_id, text, 1::BIGINT AS n_done, CAST(ceil(length(anonymized) / 40.0) AS BIGINT) AS n_other FROM (" + f"{_ANON_SQL} SELECT doc_id, text, anonymized FROM anon" + ") WHERE anonymized <> ''",
     "cache_hits": "SELECT d.doc_id, EXISTS (SELECT 1 FROM documents c WHERE c.doc_id % 2 = 0 AND c.source = d.source AND c.text = d.text) AS hit FROM documents d",
     "cache_hit_ratio": "SELECT count(*) AS total, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, count(*) FILTER (hit) * 100.0::DOUBLE / count(*) AS hit_rate FROM (SELECT EXISTS (SELECT 1 FROM documents c WHERE c.doc_id % 2 = 0 AND c.source = d.source AND c.text = d.text) AS hit FROM documents d)",
     "gateway_prompt_inject": f"""SELECT conv_id, CAST(CASE WHEN r = 'system' THEN n ELSE n + 1 END AS INTEGER) AS n_messages, 'system' AS role, CASE WHEN r = 'system' THEN t || {_q(codec.NOTE + PROMPT)} ELSE {_q(PROMPT)} END AS content
@@ -525,7 +575,7 @@ ORACLE_SQL: dict[str, str] = {
     "stream_split": "SELECT event_id % 4 = 0 AS stream, count(*) AS n FROM events GROUP BY ALL",
     "json_decode": "SELECT conv_id, turn, CASE WHEN turn % 5 <> 4 THEN role END AS user, CAST(CASE WHEN turn % 5 = 4 THEN 400 END AS INTEGER) AS status FROM conversations",
     "blank_guard": r"SELECT doc_id, doc_id % 5 < 3 OR text IS NULL OR regexp_matches(text, '^\s*$') AS blank FROM documents",
-    "role_filter": "SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id",
+    "role_filter": """SELECT conv_id, count(DISTINCT tag) AS n FROM (SELECT conv_id, unnest(CASE WHEN role = 'user' THEN ['<TURN_' || turn || '>', '<USER_1>', '<TURN_' || (turn // 4) || '>'] ELSE [NULL] END) AS tag FROM conversations) GROUP BY conv_id""",
     "token_usage": r"SELECT conv_id, CAST(sum(len(regexp_extract_all(text, '[^\s]+'))) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id",
     "tag_scan": f"{_ANON_SQL} SELECT doc_id, CAST(i - 1 AS INTEGER) AS n, m[i] AS tag FROM (SELECT doc_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(anonymized, {_q(P.TAG)}) AS m FROM anon))",
     "ordered_distinct_tags": f"""{_ANON_SQL}, o AS (SELECT source, m[i] AS tag, min((doc_id, i)) AS pos FROM (SELECT source, doc_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT source, doc_id, regexp_extract_all(anonymized, {_q(P.TAG)}) AS m FROM anon)) GROUP BY ALL)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..operators.codec import CHUNK, REQUEST
+from ..operators.pseudonyms import clear_session
 
 DONE = "[DONE]"
 
@@ -93,7 +95,12 @@ class StateTables:
     """The state of sessions as Parquet tables in one folder, partitioned by a hash of the session, so that clearing or
     reading a session touches one part."""
 
-    NAMES = ("tags", "originals", "cache")
+    SCHEMAS = {
+        "tags": "session string, type string, value string, tag string, pos struct<order:long,field:int,start:int>",
+        "originals": "session string, tag string, original string",
+        "cache": "session string, text_hash string, anonymized string",
+    }
+    NAMES = tuple(SCHEMAS)
 
     def __init__(self, spark: SparkSession, folder: str, parts: int = 64):
         self.spark, self.folder, self.parts = spark, folder.rstrip("/"), parts
@@ -102,10 +109,30 @@ class StateTables:
         return F.pmod(F.xxhash64("session"), F.lit(self.parts)).cast("int")
 
     def append(self, name: str, rows: DataFrame) -> None:
-        rows.withColumn("part", self._part()).write.mode("append").partitionBy("part").parquet(f"{self.folder}/{name}")
+        rows.select(*self.spark.createDataFrame([], self.SCHEMAS[name]).columns).withColumn("part", self._part()).write.mode("append").partitionBy("part").parquet(f"{self.folder}/{name}")
+
+    def clear(self, sessions: DataFrame) -> None:
+        """Deletes the sessions (session) from all tables: the parts that hold them are written anew, no others."""
+        parts = [r.part for r in sessions.select(self._part().alias("part")).distinct().collect()]  # at most `parts`
+        for name in self.NAMES:
+            if not parts or not storage.exists(self.spark, f"{self.folder}/{name}"):
+                continue
+            rows = self._whole(name).where(F.col("part").isin(*parts))
+            kept = storage.written(clear_session(rows, sessions), f"kept-{name}")
+            left = {r.part for r in kept.select("part").distinct().collect()}
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.folder}/{name}")
+            for part in set(parts) - left:
+                storage.remove(self.spark, f"{self.folder}/{name}/part={part}")
+            storage.removed(kept)
+
+    def _whole(self, name: str) -> DataFrame:
+        return self.spark.read.schema(f"{self.SCHEMAS[name]}, part int").parquet(f"{self.folder}/{name}")
 
     def read(self, name: str, session: str | None = None) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.folder}/{name}")
+        """A table as it is now; empty where nothing was written yet."""
+        if not storage.exists(self.spark, f"{self.folder}/{name}"):
+            return self.spark.createDataFrame([], self.SCHEMAS[name])
+        df = self._whole(name)
         if session is not None:
             own = self.spark.range(1).select(F.lit(session).alias("session")).select(self._part().alias("p")).first().p
             df = df.where((F.col("part") == own) & (F.col("session") == session))

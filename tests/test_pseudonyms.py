@@ -2,9 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloakframe.config import Config
-from cloakframe.functions.similarity import ByType, JaroWinkler, exact, jaro_winkler, resolution
+from cloakframe.functions.similarity import ByType, JaroWinkler, exact, jaro_winkler, resolution, similarity_index
 from cloakframe.operators import pseudonyms as S
 from cloakframe.plans import pipeline
+from cloakframe.sources.chat import StateTables
 
 JW = JaroWinkler(0.88)
 
@@ -90,3 +91,62 @@ def test_a_model_label_names_the_tag(spark):
     ml = F.array(F.struct(F.lit(5).alias("start"), F.lit(11).alias("end"), F.lit("MODEL").alias("type"), F.lit("LOCATION").alias("raw_type"), F.lit("Berlin").alias("value")))
     done, _ = pipeline.anonymize(frame(spark, [(1, "s", "city Berlin")]), Config(), id_col="id", session="session", ml=ml)
     assert done.first().anonymized == "city <LOCATION_1>"
+
+
+def test_a_session_goes_on(spark, tmp_path):
+    state = StateTables(spark, f"file://{tmp_path}/state", parts=3)
+    one = lambda rows: {r.id: r.anonymized for r in pipeline.anonymize_cached(frame(spark, rows), Config(resolution="exact"), state, id_col="id", session="session").collect()}
+    assert one([(1, "s", "a@x.com"), (2, None, "n@x.com"), (3, "s", " "), (4, "s", None)]) == {1: "<EMAIL_1>", 2: "<EMAIL_1>", 3: " ", 4: None}
+    assert one([(5, "s", "b@y.com, a@x.com"), (6, "s", "a@x.com"), (7, "s_1", "b@y.com"), (8, None, "m@x.com")]) == {5: "<EMAIL_2>, <EMAIL_1>", 6: "<EMAIL_1>", 7: "<EMAIL_1>", 8: "<EMAIL_2>"}
+    assert state.read("cache").count() == 6 - 1  # the sixth was there, the third and the fourth are blank
+    back = pipeline.restore_cached(frame(spark, [(1, "s", "see <EMAIL_2> and <EMAIL_1>")]), state, id_col="id", session="session", text="text").first()
+    assert back.restored == "see b@y.com and a@x.com"
+    assert state.read("cache").where("anonymized = 'see <EMAIL_2> and <EMAIL_1>'").count() == 1
+    state.append("tags", spark.createDataFrame([("s", "EMAIL", "late@x.com", "<EMAIL_7>", None)], StateTables.SCHEMAS["tags"]))
+    assert one([(9, "s", "new@x.com late@x.com"), (10, "s", "see b@y.com and a@x.com")]) == {9: "<EMAIL_8> <EMAIL_7>", 10: "see <EMAIL_2> and <EMAIL_1>"}
+    state.clear(spark.createDataFrame([("s",)], "session string"))
+    assert {r.session for name in state.NAMES for r in state.read(name).collect()} == {"s_1", None}
+    assert one([(11, "s", "z@x.com")]) == {11: "<EMAIL_1>"}
+    state.clear(spark.createDataFrame([("s",), ("s_1",)], "session string"))
+    assert {r.session for name in state.NAMES for r in state.read(name).collect()} == {None}
+
+
+def test_a_text_that_the_model_failed_on_is_not_cached(spark, tmp_path):
+    state = StateTables(spark, f"file://{tmp_path}/state", parts=2)
+    span = F.struct(F.lit(0).alias("start"), F.lit(3).alias("end"), F.lit("MODEL").alias("type"), F.lit("PERSON").alias("raw_type"), F.lit("Ada").alias("value"))
+    ml = F.when(F.col("id") != 1, F.array(span))
+    df = frame(spark, [(1, "s", "Ada a@x.com"), (2, "s", "Ada b@x.com")])
+    got = {r.id: r.anonymized for r in pipeline.anonymize_cached(df, Config(resolution="exact"), state, id_col="id", session="session", ml=ml).collect()}
+    assert got == {1: "Ada <EMAIL_1>", 2: "<PERSON_1> <EMAIL_2>"}
+    assert [r.anonymized for r in state.read("cache").collect()] == ["<PERSON_1> <EMAIL_2>"]
+
+
+def test_aliases_go_on(spark):
+    rows = lambda *v: spark.createDataFrame([("s", kind, value, (n, 0, 0)) for n, (kind, value) in enumerate(v)], "session string, type string, value string, pos struct<order:long,field:int,start:int>")
+    known = S.assign(rows(("PERSON", "John"), ("PERSON", "Mary"), ("PHONE", "1")), JW, ("PERSON",))
+    got = {r.value: r.tag for r in S.assign(rows(("PERSON", "Johnson"), ("PERSON", "Alexander"), ("PERSON", "Mary"), ("PHONE", "2")), JW, ("PERSON",), known).collect()}
+    assert got == {"Johnson": "<PERSON_1>", "Alexander": "<PERSON_3>", "2": "<PHONE_2>"}
+
+
+def test_values_that_are_never_scored_can_not_be_similar():
+    import random
+
+    rng = random.Random(4)
+    for seed in range(30):
+        index, known = similarity_index(JW), {}
+        for _ in range(60):
+            value = "".join(rng.choice("abcde é\U0001f600") for _ in range(rng.randint(0, 12))) * rng.choice((1, 1, 1, 30))
+            assert index.find("X", value) == JW("X", value, known)
+            index.add(value)
+            known[value] = None
+
+
+def test_texts_are_detected_once(spark):
+    df = frame(spark, [(n, "s", f"a{n}@x.com and 10.0.0.{n}") for n in range(4)])
+    found = pipeline.hits(df, Config(resolution="exact"), id_col="id", session="session", order="id")
+    assert found.count() == 8
+    done, tags = pipeline.anonymize(df, Config(resolution="exact"), id_col="id", session="session")
+    for plan in (done, tags):
+        assert "regexp_extract_all" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    each = pipeline.detected(df, Config(resolution="exact")).select("id", F.explode_outer("spans").alias("s"))
+    assert each._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 4
