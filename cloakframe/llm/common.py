@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_folder, remove, removed, shared_dir, written
+
+__all__ = ["GAP", "WORD", "ascii_lower", "bounded_batches", "new_folder", "remove", "removed", "shared_dir", "table", "words", "written"]
+
 #: A word, after A-Z are lower-cased: a run of anything but ASCII characters that are neither letters nor digits.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A run of characters that stand in no word.
@@ -31,42 +31,3 @@ def words(text: Column) -> Column:
 def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     """Bytes of text that a Python worker is sent at once: long texts else come by thousands of rows a batch."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cloakframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended before: nothing to clean with
-        pass
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A folder of its own in the shared folder; it goes when the driver ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def removed(*tables: DataFrame) -> None:
-    """Deletes tables that `written` gave and that nothing reads any more."""
-    for df in tables:
-        for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-            _remove(df.sparkSession, path)
