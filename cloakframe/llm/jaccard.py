@@ -15,8 +15,9 @@ sums of links and a spanning forest of the exact links, from which the classes f
 Identical shingle sets are one class representative from the start; copies are counted by weight.
 
 Defined results: words as in common.WORD; a text of fewer than 5 words, but not none, is one shingle; texts without
-words (null, empty) have no links and are classes of their own. Rows of equal id are copies like any others and share
-the id. A null id is left out. Whole texts are read.
+words (null, empty) have no links and are classes of their own. Every row is a document: rows of equal id and equal sets
+are copies like any others, rows of one id and different sets have links and classes of their own (a class is named by
+its smallest id, so such classes may share the name). A null id is left out. Whole texts are read.
 """
 
 from __future__ import annotations
@@ -138,46 +139,46 @@ def first_keys(own: np.ndarray, n_runs: int, threshold: float) -> np.ndarray:
 
 
 def _read_sets(docs: DataFrame, shingle: int, threshold: float, recall: float) -> DataFrame:
-    """id, size, fingerprint of the set, and the first step's bucket keys, for texts with words."""
+    """id, digest of the text, size, fingerprint of the set, and the first step's bucket keys, for texts with words."""
     n_runs = runs(threshold, recall)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for ident, text in zip(batch["id"], batch["text"], strict=True):
+            for ident, digest, text in zip(batch["id"], batch["digest"], batch["text"], strict=True):
                 own = shingle_set(text, shingle)
                 if len(own):
                     marks = (mixes(own, range(900, 900 + MARKS)).min(1) >> np.uint64(40)).astype(np.int32)
-                    rows.append((ident, len(own), xxhash.xxh3_128_digest(own.tobytes()), first_keys(own, n_runs, threshold), marks))
+                    rows.append((ident, digest, len(own), xxhash.xxh3_128_digest(own.tobytes()), first_keys(own, n_runs, threshold), marks))
                 else:
-                    rows.append((ident, 0, b"", np.zeros(0, np.int64), np.zeros(0, np.int32)))
-            yield pd.DataFrame(rows, columns=["id", "size", "print", "keys", "marks"])
+                    rows.append((ident, digest, 0, b"", np.zeros(0, np.int64), np.zeros(0, np.int32)))
+            yield pd.DataFrame(rows, columns=["id", "digest", "size", "print", "keys", "marks"])
 
-    return docs.mapInPandas(read, "id long, size int, print binary, keys array<long>, marks array<int>")
+    return docs.mapInPandas(read, "id long, digest binary, size int, print binary, keys array<long>, marks array<int>")
 
 
-def _split(open_rows: DataFrame, texts: DataFrame, shingle: int, threshold: float, step: int) -> DataFrame:
+def _split(open_rows: DataFrame, members: DataFrame, shingle: int, threshold: float, step: int) -> DataFrame:
     """Children (key) of too large buckets, for each member."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for ident, text, parents in zip(batch["id"], batch["text"], batch["parents"], strict=True):
+            for ident, text, parents in zip(batch["node"], batch["text"], batch["parents"], strict=True):
                 own = shingle_set(text, shingle)
                 for parent in parents:
                     seed = (int(parent) & 0xFFFFFFFFFFFF) * 8 + step
                     rows += [(ident, key) for key in mix(chosen(own, seed, threshold), seed + 1).view(np.int64)]
-            yield pd.DataFrame(rows, columns=["id", "key"])
+            yield pd.DataFrame(rows, columns=["node", "key"])
 
-    grouped = open_rows.groupBy("id").agg(F.collect_list("key").alias("parents"))  # a document's few open buckets
-    return grouped.join(texts, "id").select("id", "text", "parents").mapInPandas(split, "id long, key long")
+    grouped = open_rows.groupBy("node").agg(F.collect_list("key").alias("parents"))  # a document's few open buckets
+    return grouped.join(members, "node").select("node", "text", "parents").mapInPandas(split, "node long, key long")
 
 
 def _alike(rows: DataFrame, large: DataFrame, reps: DataFrame) -> DataFrame:
     """(key, alike): mean similarity of the members of large buckets (key, n), from how often their marks agree.
 
     The squared sum of random signs of the marks is, on average, the number of pairs that agree: sums are all it takes."""
-    marked = rows.join(large, "key").join(reps.select("id", "marks"), "id").select("key", "n", *(F.xxhash64(F.get("marks", F.lit(k)), F.lit(k)).alias(f"h{k}") for k in range(MARKS)))
+    marked = rows.join(large, "key").join(reps.select("node", "marks"), "node").select("key", "n", *(F.xxhash64(F.get("marks", F.lit(k)), F.lit(k)).alias(f"h{k}") for k in range(MARKS)))
     sign = lambda k, r: F.shiftright(F.col(f"h{k}"), r).bitwiseAND(F.lit(1)) * 2 - 1
     sums = [(k, r) for k in range(MARKS) for r in range(SIGNS)]
     added = marked.groupBy("key").agg(F.max("n").alias("n"), *(F.sum(sign(k, r)).cast("double").alias(f"s{k}_{r}") for k, r in sums))
@@ -233,7 +234,7 @@ def _forest(edges_a: np.ndarray, edges_b: np.ndarray, ids: np.ndarray) -> list[t
 def _cells(df: DataFrame, key: str, n: str, block: int) -> DataFrame:
     """Rows dealt to the pairs of blocks of their bucket: cell (key, i, j) and side (0: block i, 1: block j; 0 alone if i = j)."""
     m = F.ceil(F.col(n) / block).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit(17)), m).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(17)), m).cast("int")
     other = F.explode(F.sequence(F.lit(0), m - 1))
     return df.withColumn("m", m).withColumn("own", own).withColumn("other", other).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("own", "other", "m", n)
 
@@ -244,7 +245,7 @@ def _near_forest(near: float):
         for cell in _groups(it, ["key", "i", "j"]):
             if len(cell) < 2:
                 continue
-            ids, sizes = cell["id"].to_numpy(), cell["size"].to_numpy()
+            ids, sizes = cell["node"].to_numpy(), cell["size"].to_numpy()
             marks = np.frombuffer(b"".join(cell["sketch"]), np.uint8).reshape(len(cell), SLOTS)
             left = np.arange(len(cell))
             right = left
@@ -281,7 +282,7 @@ def _links(threshold: float):
         for cell in _groups(it, ["key", "i", "j"]):
             if len(cell) < 2:
                 continue
-            ids, sizes, weight = cell["id"].to_numpy(), cell["size"].to_numpy(), cell["copies"].to_numpy(np.int64)
+            ids, sizes, weight = cell["node"].to_numpy(), cell["size"].to_numpy(), cell["copies"].to_numpy(np.int64)
             own = [np.frombuffer(s, np.uint64) for s in cell["shingles"]]
             values, place, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
             row = np.repeat(np.arange(len(own)), [len(s) for s in own])
@@ -306,10 +307,10 @@ def _links(threshold: float):
             trees = dict(_forest(a, b, ids))
             out += [(int(i), int(t), int(d), trees.get(int(i), int(i))) for i, t, d in zip(ids, n_texts, n_docs, strict=True) if t]
             if len(out) > 20_000:
-                yield pd.DataFrame(out, columns=["id", "n_texts", "n_docs", "root"])
+                yield pd.DataFrame(out, columns=["node", "n_texts", "n_docs", "root"])
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=["id", "n_texts", "n_docs", "root"])
+            yield pd.DataFrame(out, columns=["node", "n_texts", "n_docs", "root"])
 
     return run
 
@@ -321,53 +322,60 @@ def _sorted_cells(df: DataFrame) -> DataFrame:
 def ngram_jaccard(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """For each document: id_col, class_id (smallest id that a chain of links leads to), copy_of (smallest id of the same
     shingle set), n_links (other documents of similarity `threshold` or more) and n_text_links (other shingle sets)."""
-    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
+    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull()).withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     sets = written(_read_sets(texts, shingle, threshold, recall), "sets")
-    reps = sets.where("size > 0").groupBy("print").agg(F.min(F.struct("id", "size", "keys", "marks")).alias("r"), F.count("*").alias("copies")).select("print", "r.*", "copies")
-    reps = written(reps, "representatives")
-
-    # the recursion: leaves are (key, n, id)
-    rows = reps.select("id", F.explode("keys").alias("key"))
+    first = F.min(F.struct("id", "digest", "size", "keys", "marks")).alias("r")
+    reps = sets.where("size > 0").groupBy("print").agg(first, F.count("*").alias("copies")).select("print", "r.*", "copies")
+    # nodes number the different sets: ids may repeat
+    reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "representatives")
+
+    def text_of(nodes: DataFrame) -> DataFrame:
+        """(node, text) of the nodes (node, distinct): a text that gave their sets."""
+        places = reps.select("node", "id", "digest").join(nodes, "node", "left_semi")
+        return texts.join(places, ["digest", "id"]).select("node", "text").dropDuplicates(["node"])
+
+    # the recursion: leaves are (key, n, node)
+    rows = reps.select("node", F.explode("keys").alias("key"))
     leaves = None
     for step in range(MOST_STEPS):
         counted = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         alike = _alike(rows, counted.where(F.col("n") > SPLIT_ROWS), reps)
         leaf = (F.col("n") <= SPLIT_ROWS) | (F.coalesce("alike", F.lit(0.0)) >= ALIKE) | F.lit(step == MOST_STEPS - 1)
         kept = written(rows.join(counted.join(alike, "key", "left").select("key", "n", leaf.alias("leaf")), "key"), "buckets")
-        done = kept.where("leaf").select("key", "n", "id")
+        done = kept.where("leaf").select("key", "n", "node")
         leaves = done if leaves is None else leaves.unionByName(done)
         open_rows = kept.where("not leaf")
         if open_rows.isEmpty():
             break
-        members = texts.join(open_rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-        rows = written(_split(open_rows.select("id", "key"), members, shingle, threshold, step + 1), "children")  # they are counted, then joined with the counts
+        members = text_of(open_rows.select("node").distinct())
+        rows = written(_split(open_rows.select("node", "key"), members, shingle, threshold, step + 1), "children")  # they are counted, then joined with the counts
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             own = [shingle_set(text, shingle) for text in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "sketch": [sketch(s) for s in own]})
+            yield pd.DataFrame({"node": batch["node"], "sketch": [sketch(s) for s in own]})
 
-    in_bucket = leaves.select("id").distinct()
-    by_id = texts.join(reps.select("id", "size", "copies"), "id").join(in_bucket, "id", "left_semi")
-    marks = by_id.select("id", "text").mapInPandas(sketched, "id long, sketch binary").dropDuplicates(["id"])
-    near = _cells(leaves.join(marks, "id").join(reps.select("id", "size"), "id"), "key", "n", SKETCH_BLOCK_ROWS)
+    marks = text_of(leaves.select("node").distinct()).mapInPandas(sketched, "node long, sketch binary")
+    near = _cells(leaves.join(marks, "node").join(reps.select("node", "size"), "node"), "key", "n", SKETCH_BLOCK_ROWS)
     candidates = components(_sorted_cells(near).mapInPandas(_near_forest(NEAR), "a long, b long"))
     roots = candidates.select(F.col("component").alias("node"), "component").distinct()
-    grouped = written(candidates.unionByName(roots).select(F.col("node").alias("id"), F.col("component").alias("key")), "groups")
+    grouped = written(candidates.unionByName(roots).select("node", F.col("component").alias("key")), "groups")
     sized = grouped.groupBy("key").agg(F.count("*").alias("n"))
 
     def with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "shingles": [shingle_set(text, shingle).tobytes() for text in batch["text"]]})
-
-    member = grouped.join(sized, "key").join(reps.select("id", "size", "copies"), "id")
-    shingles = texts.join(grouped.select("id"), "id", "left_semi").mapInPandas(with_sets, "id long, shingles binary").dropDuplicates(["id"])
-    exact = _sorted_cells(_cells(member.join(shingles, "id"), "key", "n", BLOCK_ROWS))
-    linked = written(exact.mapInPandas(_links(threshold), "id long, n_texts long, n_docs long, root long"), "links")
-    classes = components(linked.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("id"), "component")
-    counts = linked.groupBy("id").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
-    per_print = reps.select("print", F.col("id").alias("copy_of"), "copies", "id").join(counts, "id", "left").join(classes, "id", "left")
-    per_print = per_print.select("print", "copy_of", "copies", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_texts", F.lit(0)).alias("n_text_links"), (F.coalesce("n_docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+            yield pd.DataFrame({"node": batch["node"], "shingles": [shingle_set(text, shingle).tobytes() for text in batch["text"]]})
+
+    member = grouped.join(sized, "key").join(reps.select("node", "size", "copies"), "node")
+    shingles = text_of(grouped.select("node")).mapInPandas(with_sets, "node long, shingles binary")
+    exact = _sorted_cells(_cells(member.join(shingles, "node"), "key", "n", BLOCK_ROWS))
+    linked = written(exact.mapInPandas(_links(threshold), "node long, n_texts long, n_docs long, root long"), "links")
+    classes = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    classes = written(classes.union(classes.select("component", "component").distinct()), "classes")
+    names = classes.join(reps.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("class_id"))
+    counts = linked.groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
+    per_print = reps.select("print", F.col("id").alias("copy_of"), "copies", "node").join(counts, "node", "left").join(classes.join(names, "component"), "node", "left")
+    per_print = per_print.select("print", "copy_of", "copies", F.coalesce("class_id", "copy_of").alias("class_id"), F.coalesce("n_texts", F.lit(0)).alias("n_text_links"), (F.coalesce("n_docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     zero = F.lit(0).cast("long")
     return sets.select("id", "print").join(per_print, "print", "left").select(
         F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_of", "id").alias("copy_of"),

@@ -87,6 +87,17 @@ def test_repeated_ids_and_long_texts(spark):
     assert got == [(1, 1, 1), (1, 1, 1), (2, 2, 1), (3, 2, 1)]
 
 
+def test_one_id_over_different_texts(spark):
+    rng = np.random.default_rng(41)
+    a, b = words_of(rng, 60), words_of(rng, 60)
+    rows = [(1, a), (1, b), (2, [*a, "x"]), (3, [*b, "y"]), (4, [*b, "z"])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.ngram_jaccard(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 2), (2, 1, 1), (3, 1, 2), (4, 1, 2)]
+    got = sorted((r.doc_id, r.class_id, r.n_repeated) for r in passages.repeated_passages(df).collect())
+    assert got == [(1, 1, 60), (1, 1, 60), (2, 1, 61), (3, 1, 61), (4, 1, 61)]
+
+
 def test_compact_windows_partition_all_subsequences():
     values = np.random.default_rng(0).integers(0, 50, 60).astype(np.uint64)
     windows = passages.compact_windows(values, 7)
