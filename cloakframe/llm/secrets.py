@@ -133,9 +133,13 @@ def found_spans(text: Column, rule: Rule) -> Column:
 
 
 def postings(texts: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(trigram, key) of the texts (key, text) that have it, in any case of ASCII letters."""
-    low = F.lower("text")
-    return texts.select(F.explode(F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(low, t))).alias("trigram"), "key")
+    """(trigram, key) of the texts (key, text) that have it, in any case of ASCII letters.
+
+    Texts are lower-cased once, the trigrams' tests are generated code, and the explode is an outer one: for a plain one
+    the optimizer tests the array's size below, which makes the array twice."""
+    low = texts.select("key", F.lower("text").alias("low"))
+    held = low.select("key", F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams)).alias("held"))
+    return held.select(F.explode_outer("held").alias("trigram"), "key").where("trigram is not null")
 
 
 def scan(documents: DataFrame, *, text_col: str = "text", out_col: str = "spans", rules: tuple[Rule, ...] = RULES) -> DataFrame:
