@@ -52,11 +52,15 @@ def gram_counts(codes: np.ndarray, orders: range, buckets: int, within_words: bo
     return counts
 
 
-def bounded_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """The rows whose hashed ids are the smallest: `rows` of them, more only where ids repeat. Only hashes are sorted."""
-    mark = F.xxhash64(F.col(id_col).cast("string"))
-    edge = df.select(mark.alias("mark")).orderBy("mark").limit(rows).agg(F.max("mark").alias("edge")).first()
-    return df.where(F.lit(False)) if edge is None or edge.edge is None else df.where(mark <= edge.edge)
+def bounded_sample(df: DataFrame, id_col: str, rows: int, text_col: str = "text") -> DataFrame:
+    """The rows whose hashed ids, then hashed texts, are the smallest: `rows` of them at most, however often an id repeats.
+    Only hashes are sorted; of rows of equal id and text any are taken."""
+    mark, second = F.xxhash64(F.col(id_col).cast("string")), F.xxhash64(F.col(text_col))
+    edge = df.select(F.struct(mark.alias("a"), second.alias("b")).alias("mark")).orderBy("mark").limit(rows).agg(F.max("mark").alias("edge")).first()
+    if edge is None or edge.edge is None:
+        return df.where(F.lit(False))
+    below = (mark < edge.edge.a) | ((mark == edge.edge.a) & (second <= edge.edge.b))
+    return df.where(below).limit(rows)
 
 
 def crc_mod(id_col: Column, n: int) -> Column:

@@ -7,7 +7,9 @@ get a dash or their number, cells of a table line up in columns, preformatted te
 
 Defined results: null gives null, an empty page an empty text; malformed markup never fails and unclosed elements end
 with the page. Text that aria-hidden marks is seen, and so are formulas and the labels of drawings; a visible part of an
-invisible element is. The options of a select are left out, as controls and not text. Whole pages are read, however long or deeply nested.
+invisible element is. The options of a select are left out, as controls and not text; rules of style sheets are not read.
+Cells are padded to 80 characters at most. Equal pages get equal texts, repeated rows stay repeated; it is a function of
+one column, so other columns never clash. Whole pages are read, however long or deeply nested.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -237,7 +240,7 @@ def render(root: Node) -> str:
     """All visible text of a tree, laid out. Tables are rendered cell by cell and lined up when their element ends."""
     out = _Out()
     outs: list[tuple[_Out, list]] = []  # what each open cell interrupts: the text and lists around its table
-    tables: list[list[list[str]]] = []
+    tables: list[list[list[Cell]]] = []
     lists: list[int | None] = []
     pre, seen = 0, [True]
     steps: list[tuple[bool, Node | str]] = [(True, root)]
@@ -281,6 +284,8 @@ def render(root: Node) -> str:
                 elif name == "li":
                     depth = "  " * max(0, len(lists) - 1)
                     if lists and lists[-1] is not None:
+                        if re.fullmatch(r"-?\d{1,9}", node.attrs.get("value", "")):
+                            lists[-1] = int(node.attrs["value"])
                         out.prefix = f"{depth}{lists[-1]}. " if shows else ""
                         lists[-1] += 1
                     else:
@@ -306,7 +311,7 @@ def render(root: Node) -> str:
         elif name in ("td", "th") and tables:
             text = out.whole()
             out, lists = outs.pop()
-            tables[-1][-1].append(text)
+            tables[-1][-1].append((text, _span(node, "colspan", 1000), _span(node, "rowspan", 65534)))
         elif name in BLOCK:
             if name in ("ul", "ol", "menu", "dir") and lists:
                 lists.pop()
@@ -316,21 +321,62 @@ def render(root: Node) -> str:
     return out.whole()
 
 
-def aligned(rows: list[list[str]]) -> list[str]:
-    """Lines of a table: cells of a column start at one place; a cell of several lines takes several lines."""
-    cells = [[cell.split("\n") for cell in row] for row in rows if row]
-    widths: list[int] = []
-    for row in cells:
-        for n, lines in enumerate(row):
-            width = max(map(len, lines))
-            if n == len(widths):
-                widths.append(width)
-            else:
-                widths[n] = max(widths[n], width)
-    return [
-        "  ".join((lines[at] if at < len(lines) else "").ljust(widths[n]) for n, lines in enumerate(row)).rstrip()
-        for row in cells for at in range(max(map(len, row)))
-    ]
+#: Columns that a cell is padded to, at most: a wider one pushes the rest of its own row alone. And how many times longer
+#: than its text a row of several lines may get by padding before its cells are put below each other.
+WIDEST, MOST_PADDING = 80, 10
+Cell = tuple[str, int, int]
+
+
+def _span(node: Node, name: str, most: int) -> int:
+    given = node.attrs.get(name, "1").strip()
+    return min(int(given), most) if re.fullmatch(r"\d{1,9}", given) and int(given) else 1
+
+
+def placed(rows: list[list[Cell]]) -> list[list[tuple[int, int, str]]]:
+    """(column, columns, text) of each row's cells; columns that a cell of a row above reaches down into are left free."""
+    out, taken = [], {}
+    for row in rows:
+        now, column, free_again = [], 0, {c: n - 1 for c, n in taken.items() if n > 1}
+        for text, wide, high in row:
+            while column in taken:
+                column += 1
+            now.append((column, wide, text))
+            if high > 1:
+                free_again.update((c, high - 1) for c in range(column, column + wide))
+            column += wide
+        out.append(now)
+        taken = free_again
+    return out
+
+
+def aligned(rows: list[list[Cell]]) -> list[str]:
+    """Lines of a table of cells (text, columns, rows): cells of a column start at one place, also below cells that take
+    several columns or rows; a cell of several lines takes several lines. No text is cut."""
+    grid = placed([row for row in rows if row])
+    widths: dict[int, int] = {}
+    for row in grid:
+        for column, wide, text in row:
+            widths.setdefault(column, 0)
+            if wide == 1:
+                widths[column] = max(widths[column], min(WIDEST, max(map(len, text.split("\n")))))
+    columns = sorted(widths)
+    starts = dict(zip(columns, accumulate((widths[c] + 2 for c in columns), initial=0), strict=False))
+    out: list[str] = []
+    for row in grid:
+        cells = [(starts[column], text.split("\n")) for column, _, text in row]
+        height, said = max(len(lines) for _, lines in cells), sum(len(text) for _, _, text in row)
+        if height > 1 and height * cells[-1][0] > MOST_PADDING * said + 10_000:
+            out += [line for _, lines in cells for line in lines if line]
+            continue
+        for at in range(height):
+            parts, end = [], 0
+            for start, lines in cells:
+                if at < len(lines) and lines[at]:
+                    blanks = max(start - end, 2 if end else 0)
+                    parts += [" " * blanks, lines[at]]
+                    end += blanks + len(lines[at])
+            out.append("".join(parts).rstrip())
+    return out
 
 
 def extract(source: str | None) -> str | None:

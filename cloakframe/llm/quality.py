@@ -132,8 +132,8 @@ def _vectors(rows: DataFrame) -> np.ndarray:
 def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model:
     """Fit on bounded samples of the trusted positives of labels (label 1) and of all documents."""
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    trusted = bounded_sample(labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct(), "id", positive_rows)
-    positive = _vectors(texts.join(F.broadcast(trusted), "id", "left_semi"))  # bounded: positive_rows ids
+    trusted = bounded_sample(labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct().withColumn("text", F.lit("")), "id", positive_rows)
+    positive = _vectors(bounded_sample(texts.join(F.broadcast(trusted), "id", "left_semi"), "id", positive_rows))  # ids may repeat
     return fit(positive, _vectors(bounded_sample(texts, "id", unlabelled_rows)))
 
 

@@ -16,8 +16,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,15 +118,24 @@ FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id LEFT JOIN rep ON rep.p
 """
 
 
+# The base kinds, as the contract states them: kind, pattern, group whose length counts, least length.
+_BASE_SECRETS = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18),
+    ("hex", r"[0-9a-f]+", 0, 16),
+)
+
+
 def _op5_sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    kinds = [*_BASE_SECRETS, *((r.kind, r.pattern, r.group, r.least) for r in secrets.MORE)]
     rows = "\nUNION ALL ".join(
-        f"""SELECT doc_id, {n} AS rank, '{r.kind}' AS kind, start, start + length(v) AS stop FROM (
-  SELECT doc_id, v, CAST(length(array_to_string(g[1:i], '')) + length(array_to_string(m[1:i - 1], '')) AS BIGINT) AS start
-  FROM (SELECT doc_id, m, g, m[i] AS v, i FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (
-    SELECT doc_id, regexp_extract_all(text, {quoted(r.pattern)}) AS m, string_split_regex(text, {quoted(r.pattern)}) AS g FROM t)))
-) WHERE length(regexp_extract(v, {quoted(r.pattern)}, {r.group})) >= {r.least}"""
-        for n, r in enumerate(secrets.RULES)
+        f"""SELECT doc_id, {n} AS rank, '{kind}' AS kind, start, start + length(v) AS stop FROM (
+  SELECT doc_id, v, CAST(sum(length(gap) + length(v)) OVER (PARTITION BY doc_id ORDER BY i) - length(v) AS BIGINT) AS start
+  FROM (SELECT doc_id, unnest(m) AS v, unnest(g[1:len(m)]) AS gap, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT doc_id, regexp_extract_all(text, {quoted(pattern)}) AS m, string_split_regex(text, {quoted(pattern)}) AS g FROM t))
+) WHERE length(regexp_extract(v, {quoted(pattern)}, {group})) >= {least}"""
+        for n, (kind, pattern, group, least) in enumerate(kinds)
     )
     return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS ({rows}),
 a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
@@ -138,10 +146,10 @@ SELECT t.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesc
 
 
 _OP1_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+      FROM v q JOIN v c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """

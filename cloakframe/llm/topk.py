@@ -7,8 +7,9 @@ score and visits its other nodes by falling upper bound (inner product with the
 no bound can reach the query's kth score.
 
 Defined results: components become floor(scale * x), x as double. Vectors that are null, or hold a null, NaN or
-infinite component, take no part. Vectors of different length never meet. A query's own row, and any other row of
-its id, is no candidate; candidates of equal id but different rows are all listed. Ties go to the smaller id. Components
+infinite component, take no part. Vectors of different length never meet. Queries that are a condition on the vectors
+are rows of them: a query's own row is no candidate, other rows of its id are. Of queries in a table of their own no
+vector of a query's id is a candidate. Candidates of equal id are all listed. Ties go to the smaller id. Components
 and scores outside a signed 64-bit integer are cut to its range, before they are ranked. Rows with a null id take no part.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,7 +31,7 @@ _EXACT = 2.0**52
 class BallTree:
     """Balls over rows of integer vectors, split at the median of the widest-spread direction; leaves are contiguous."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF_ROWS):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF_ROWS, marks: np.ndarray | None = None):
         order = np.argsort(ids, kind="stable")
         lows, highs, left, right = [], [], [], []
         pending, nodes = [(0, len(ids), -1, 0)], 0
@@ -52,6 +53,7 @@ class BallTree:
                 middle = (low + high) // 2
                 pending += [(middle, high, at, 1), (low, middle, at, 0)]
         self.ids, self.vectors = ids[order], vectors[order]
+        self.marks = self.ids if marks is None else marks[order]  # what tells a query's own row
         self.low, self.high, self.left, self.right = map(np.array, (lows, highs, left, right))
         self.centre = np.stack([self.vectors[a:b].mean(0) for a, b in zip(lows, highs, strict=True)])
         self.radius = np.array([np.sqrt(((self.vectors[a:b] - c) ** 2).sum(1).max()) for a, b, c in zip(lows, highs, self.centre, strict=True)])
@@ -76,12 +78,12 @@ class BallTree:
                 at[rows] = kids[self.bounds(queries[rows], kids).argmax(1)]
 
     def scored(self, query_ids: np.ndarray, queries: np.ndarray, node: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the k best (score, id) of a node's vectors, without those of its own id."""
+        """For each query the k best (score, id) of a node's vectors, without those of its own mark."""
         low, high = self.low[node], self.high[node]
-        scores, ids = queries @ self.vectors[low:high].T, self.ids[low:high]
+        scores, ids, marks = queries @ self.vectors[low:high].T, self.ids[low:high], self.marks[low:high]
         out = []
         for own, row in zip(query_ids, scores, strict=True):
-            keep = np.flatnonzero(ids != own)
+            keep = np.flatnonzero(marks != own)
             if len(keep) > k:
                 edge = -np.partition(-row[keep], k - 1)[k - 1]
                 keep = keep[row[keep] >= edge]
@@ -138,9 +140,9 @@ def _clip(score) -> int:
     return max(-(2**63), min(2**63 - 1, int(score)))
 
 
-def _brute(ids: np.ndarray, vectors: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[list[int], list[int]]:
+def _brute(ids: np.ndarray, marks: np.ndarray, vectors: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[list[int], list[int]]:
     scores = [_clip(x) for x in vectors @ query]
-    keep = sorted((i for i in range(len(ids)) if ids[i] != own), key=lambda i: (-scores[i], ids[i]))[:k]
+    keep = sorted((i for i in range(len(ids)) if marks[i] != own), key=lambda i: (-scores[i], ids[i]))[:k]
     return [scores[i] for i in keep], [ids[i] for i in keep]
 
 
@@ -152,38 +154,46 @@ def _wave(first: bool, k: int, leaf: int):
         if len(vectors) and len(queries):
             dense, asked = _matrix(vectors["v"]), _matrix(queries["q"])
             ids, query_ids, rows = vectors["id"].to_numpy(np.int64), queries["query_id"].to_numpy(np.int64), queries["row"].to_numpy(np.int64)
+            marks, own_marks = vectors["mark"].to_numpy(np.int64), queries["mark"].to_numpy(np.int64)
             small = dense.dtype != object and asked.dtype != object and dense.size and float(np.abs(dense).max()) * float(np.abs(asked).max()) * dense.shape[1] < _EXACT
             if not small:  # numbers beyond the exact doubles: whole shards, in Python's integers
                 dense, asked = (np.array([[int(x) for x in row] for row in m], dtype=object).reshape(len(m), -1) for m in (dense, asked))
-                result = [] if first else [_brute(ids, dense, own, query, k) for own, query in zip(query_ids, asked, strict=True)]
+                result = [] if first else [_brute(ids, marks, dense, own, query, k) for own, query in zip(own_marks, asked, strict=True)]
             else:
-                tree = BallTree(ids, dense, leaf)
+                tree = BallTree(ids, dense, leaf, marks)
                 if first:
                     result, leaves = [None] * len(rows), tree.leaf_of(asked)
                     for node in np.unique(leaves):
                         at = np.flatnonzero(leaves == node)
-                        for n, got in zip(at, tree.scored(query_ids[at], asked[at], node, k), strict=True):
+                        for n, got in zip(at, tree.scored(own_marks[at], asked[at], node, k), strict=True):
                             result[n] = got
                 else:
-                    result = tree.search(query_ids, asked, k, queries["kth"].to_numpy(np.float64), queries["kth_id"].to_numpy(np.int64))
+                    result = tree.search(own_marks, asked, k, queries["kth"].to_numpy(np.float64), queries["kth_id"].to_numpy(np.int64))
             found = [(row, own, int(i), _clip(s)) for row, own, (scores, near) in zip(rows, query_ids, result, strict=bool(result)) for s, i in zip(scores, near, strict=True)] if result else []
         return pd.DataFrame(found, columns=["row", "query_id", "vec_id", "score"]).astype({"row": "int64", "query_id": "int64", "vec_id": "int64", "score": "int64"})
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256.0, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score of the k best candidates of each query."""
+def top_k(vectors: DataFrame, queries: DataFrame | Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256.0, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score of the k best candidates of each query: rows of the vectors for which the
+    condition `queries` holds, or of a table of their own."""
 
-    def integers(df: DataFrame) -> DataFrame:
+    def integers(df: DataFrame, *more: Column) -> DataFrame:
         v = F.col(vector_col).cast("array<double>")
         whole = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-        return df.where(whole).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale).cast("double") if scale < 2**20 else F.floor(x * scale)).alias("v"))
-
-    asked = written(integers(queries).select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.monotonically_increasing_id().alias("row"), F.size("v").alias("dim")), "queries")
-    shards = max(1, -(-vectors.count() // shard_rows))
+        return df.where(whole).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale).cast("double") if scale < 2**20 else F.floor(x * scale)).alias("v"), *more)
+
+    if isinstance(queries, Column):  # rows are numbered, written and told apart by their numbers
+        base = written(integers(vectors, F.coalesce(queries, F.lit(False)).alias("asked"), F.monotonically_increasing_id().alias("mark")), "vectors")
+        found = base.where("asked")
+    else:
+        base = integers(vectors, F.col(id_col).cast("long").alias("mark"))
+        found = integers(queries, F.col(id_col).cast("long").alias("mark"))
+    asked = written(found.select(F.col("id").alias("query_id"), F.col("v").alias("q"), "mark", F.monotonically_increasing_id().alias("row"), F.size("v").alias("dim")), "queries")
+    shards = max(1, -(-base.count() // shard_rows))
     blocks = max(1, -(-asked.count() // block_rows))
-    left = integers(vectors).withColumns({"dim": F.size("v"), "shard": F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")})
+    left = base.select("id", "v", "mark").withColumns({"dim": F.size("v"), "shard": F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")})
     blocked = lambda df: df.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
     # each block of queries meets each shard: the stated query set against all rows
     to_shards = lambda df: blocked(df).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))

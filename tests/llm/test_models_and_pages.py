@@ -147,3 +147,36 @@ def test_no_visible_text_is_lost(spark, sf_dir):
         if re.search(r"display:\s*none|\bhidden\b|visibility", body):
             continue
         assert unescape(re.sub(r"<[^>]*>", " ", body)).split() == [w for line in html_text.extract(r.html).split("\n") for w in re.sub(r"^\s*(- |\d+\. )", "", line).split()]
+
+
+def test_tables_of_any_shape():
+    from cloakframe.llm.html_text import extract
+
+    table = "<table><tr><td>a</td><td colspan=2>wide one</td><td>z</td></tr><tr><td rowspan=2>down</td><td>x</td><td>y</td></tr><tr><td>1</td><td>2</td></tr></table>"
+    lines = extract(table).split("\n")
+    assert [line.split() for line in lines] == [["a", "wide", "one", "z"], ["down", "x", "y"], ["1", "2"]]
+    assert lines[1].index("x") == lines[2].index("1") == lines[0].index("wide") and lines[1].index("y") == lines[2].index("2")
+    long = "w " * 500_000
+    page = f"<table><tr><td>{long}</td><td>end</td></tr>" + "<tr><td>k</td><td>v</td></tr>" * 2000 + "</table>"
+    out = extract(page)
+    assert len(out) < 1.5 * len(page) and out.split("\n")[0].endswith("w  end") and out.split("\n")[1] == "k" + " " * 81 + "v"
+    deep = "<table><tr>" + "<td>c" * 500 + "<td>" + "l<br>" * 20_000 + "</tr></table>"
+    out = extract(deep)
+    assert len(out) < 10 * len(deep) and out.split().count("l") == 20_000 and out.split().count("c") == 500
+    assert extract("<ol><li>a<li value=7>b<li>c</ol>") == "1. a\n7. b\n8. c"
+    assert extract("<table></table>") == extract("<table><tr></tr></table>") == ""
+
+
+def test_queries_that_are_rows(spark):
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.5, 0.0]), (7, [0.25, 0.0]), (None, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.rank, r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 50, k=2).collect())
+    assert got == sorted([(1, 50, 65536), (2, 50, 32768)] * 2 + [(1, 50, 32768), (2, 50, 32768)])
+
+
+def test_samples_are_bounded(spark):
+    from cloakframe.llm.hashed import bounded_sample
+
+    df = spark.createDataFrame([(1, f"t{n % 40}") for n in range(200)], "id long, text string")
+    assert bounded_sample(df, "id", 30).count() == 30 and bounded_sample(df, "id", 500).count() == 200
+    assert bounded_sample(df.limit(0), "id", 5).count() == 0
