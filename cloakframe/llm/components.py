@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import removed, written
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -28,6 +28,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         linked_on = new.select(F.col("b").alias("a")).join(new.select("a"), "a", "left_semi").limit(1)
         doubly = new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1)
         done = linked_on.isEmpty() and doubly.isEmpty()
+        removed(now)
         now = new
         if done:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import removed, written
 from .components import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -332,23 +332,26 @@ def ngram_jaccard(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     def text_of(nodes: DataFrame) -> DataFrame:
         """(node, text) of the nodes (node, distinct): a text that gave their sets."""
         places = reps.select("node", "id", "digest").join(nodes, "node", "left_semi")
-        return texts.join(places, ["digest", "id"]).select("node", "text").dropDuplicates(["node"])
+        return texts.join(places, ["digest", "id"]).dropDuplicates(["digest", "id"]).select("node", "text")  # one shuffle does for both
 
     # the recursion: leaves are (key, n, node)
     rows = reps.select("node", F.explode("keys").alias("key"))
-    leaves = None
+    leaves, children, buckets = None, None, []
     for step in range(MOST_STEPS):
         counted = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         alike = _alike(rows, counted.where(F.col("n") > SPLIT_ROWS), reps)
         leaf = (F.col("n") <= SPLIT_ROWS) | (F.coalesce("alike", F.lit(0.0)) >= ALIKE) | F.lit(step == MOST_STEPS - 1)
         kept = written(rows.join(counted.join(alike, "key", "left").select("key", "n", leaf.alias("leaf")), "key"), "buckets")
+        buckets.append(kept)
+        if children is not None:
+            removed(children)
         done = kept.where("leaf").select("key", "n", "node")
         leaves = done if leaves is None else leaves.unionByName(done)
         open_rows = kept.where("not leaf")
         if open_rows.isEmpty():
             break
         members = text_of(open_rows.select("node").distinct())
-        rows = written(_split(open_rows.select("node", "key"), members, shingle, threshold, step + 1), "children")  # they are counted, then joined with the counts
+        rows = children = written(_split(open_rows.select("node", "key"), members, shingle, threshold, step + 1), "children")  # they are counted, then joined with the counts
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -358,6 +361,7 @@ def ngram_jaccard(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     marks = text_of(leaves.select("node").distinct()).mapInPandas(sketched, "node long, sketch binary")
     near = _cells(leaves.join(marks, "node").join(reps.select("node", "size"), "node"), "key", "n", SKETCH_BLOCK_ROWS)
     candidates = components(_sorted_cells(near).mapInPandas(_near_forest(NEAR), "a long, b long"))
+    removed(*buckets)
     roots = candidates.select(F.col("component").alias("node"), "component").distinct()
     grouped = written(candidates.unionByName(roots).select("node", F.col("component").alias("key")), "groups")
     sized = grouped.groupBy("key").agg(F.count("*").alias("n"))
