@@ -2,10 +2,13 @@
 
 A document is the set of its 5-word shingles. In each of a number of independent runs a set goes into the buckets of
 the few shingles whose hash, in that run, falls under 1 / (threshold * size of the set): similar sets choose the same
-shingles. A bucket with too many members is split again, by shingles chosen under the path so far, and so on; small
-buckets, and large ones whose members are alike on average (large groups of near copies, which no split would part),
-are compared by brute force on minhash sketches, in blocks of bounded size. The number of runs follows from the target recall: with branching
-1 / threshold a pair at the threshold shares a path of four steps, the most, in a run with probability 0.31 at least.
+shingles. A bucket with too many members is split again, by tokens chosen under the path so far, and so on. From the second
+step on the tokens are the slots of the set's minhash sketch, of which two sets share as many as they are similar: a path
+goes on by the few slots whose hash under it falls under 1 / (threshold * slots), so a split reads a hundred bytes of each
+member and no text. Small buckets, and large ones whose members are alike on average (large groups of near copies, which no
+split would part), are compared by brute force on the sketches, in blocks of bounded size. The number of runs follows from
+the target recall: with branching 1 / threshold a pair at the threshold shares a path of four steps, the most, in a run with
+probability 0.31 on average; its share of equal slots is the same in all runs, so the number is of the average over it.
 
 Pairs whose sketches agree far below the threshold already join two documents to one candidate group (linear in the
 bucket's rows: only a spanning forest is emitted). Inside the candidate groups every pair is compared exactly, in
@@ -115,15 +118,22 @@ def sketch(own: np.ndarray) -> bytes:
 
 
 def runs(threshold: float, recall: float) -> int:
-    shared = 1.0
-    for _ in range(MOST_STEPS):
-        shared = 1 - math.exp(-shared)
-    return math.ceil(math.log(1 - recall) / math.log(1 - shared))
+    """Runs after which a pair at the threshold has shared a path of the most steps with probability `recall`."""
+    n = 1
+    while missed(threshold, n) > 1 - recall:
+        n += 1
+    return n
 
 
-def chosen(own: np.ndarray, seed: int, threshold: float) -> np.ndarray:
-    """The shingles of the set that a path goes on by."""
-    return own[mix(own, seed) < np.uint64(min(2.0**64 - 2048, 2.0**64 / (threshold * len(own))))]
+def missed(threshold: float, n_runs: int) -> float:
+    """Probability that a pair at the threshold shares no path of the most steps in any run."""
+    total = 0.0
+    for equal in range(SLOTS + 1):
+        share = 1.0
+        for _ in range(MOST_STEPS - 1):
+            share = 1 - (1 - share / (threshold * SLOTS)) ** equal
+        total += math.comb(SLOTS, equal) * threshold**equal * (1 - threshold) ** (SLOTS - equal) * math.exp(-share * n_runs)
+    return total
 
 
 def first_keys(own: np.ndarray, n_runs: int, threshold: float) -> np.ndarray:
@@ -139,7 +149,7 @@ def first_keys(own: np.ndarray, n_runs: int, threshold: float) -> np.ndarray:
 
 
 def _read_sets(docs: DataFrame, shingle: int, threshold: float, recall: float) -> DataFrame:
-    """id, digest of the text, size, fingerprint of the set, and the first step's bucket keys, for texts with words."""
+    """id, digest of the text, size, fingerprint of the set, the first step's bucket keys and the sketch, for texts with words."""
     n_runs = runs(threshold, recall)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,29 +159,29 @@ def _read_sets(docs: DataFrame, shingle: int, threshold: float, recall: float) -
                 own = shingle_set(text, shingle)
                 if len(own):
                     marks = (mixes(own, range(900, 900 + MARKS)).min(1) >> np.uint64(40)).astype(np.int32)
-                    rows.append((ident, digest, len(own), xxhash.xxh3_128_digest(own.tobytes()), first_keys(own, n_runs, threshold), marks))
+                    rows.append((ident, digest, len(own), xxhash.xxh3_128_digest(own.tobytes()), first_keys(own, n_runs, threshold), marks, sketch(own)))
                 else:
-                    rows.append((ident, digest, 0, b"", np.zeros(0, np.int64), np.zeros(0, np.int32)))
-            yield pd.DataFrame(rows, columns=["id", "digest", "size", "print", "keys", "marks"])
+                    rows.append((ident, digest, 0, b"", np.zeros(0, np.int64), np.zeros(0, np.int32), b""))
+            yield pd.DataFrame(rows, columns=["id", "digest", "size", "print", "keys", "marks", "sketch"])
 
-    return docs.mapInPandas(read, "id long, digest binary, size int, print binary, keys array<long>, marks array<int>")
+    return docs.mapInPandas(read, "id long, digest binary, size int, print binary, keys array<long>, marks array<int>, sketch binary")
 
 
-def _split(open_rows: DataFrame, members: DataFrame, shingle: int, threshold: float, step: int) -> DataFrame:
-    """Children (key) of too large buckets, for each member."""
+def _split(open_rows: DataFrame, reps: DataFrame, threshold: float, step: int) -> DataFrame:
+    """Children (key) of too large buckets, for each member: by the slots of its sketch that are chosen under the path."""
+    limit, places = np.uint64(2**64 / (threshold * SLOTS)), np.arange(SLOTS, dtype=np.uint64)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for ident, text, parents in zip(batch["node"], batch["text"], batch["parents"], strict=True):
-                own = shingle_set(text, shingle)
-                for parent in parents:
-                    seed = (int(parent) & 0xFFFFFFFFFFFF) * 8 + step
-                    rows += [(ident, key) for key in mix(chosen(own, seed, threshold), seed + 1).view(np.int64)]
-            yield pd.DataFrame(rows, columns=["node", "key"])
+            for at in range(0, len(batch), 4096):
+                part = batch.iloc[at : at + 4096]
+                paths = mix(part["key"].to_numpy(np.int64).view(np.uint64), 8000 + step)[:, None] + places * _PRIME
+                tokens = np.frombuffer(b"".join(part["sketch"]), np.uint8).reshape(len(part), SLOTS)
+                row, slot = np.nonzero(mix(paths, 8100) < limit)
+                keys = mix(mix(paths[row, slot], 8200) + tokens[row, slot].astype(np.uint64), 8300)
+                yield pd.DataFrame({"node": part["node"].to_numpy()[row], "key": keys.view(np.int64)})
 
-    grouped = open_rows.groupBy("node").agg(F.collect_list("key").alias("parents"))  # a document's few open buckets
-    return grouped.join(members, "node").select("node", "text", "parents").mapInPandas(split, "node long, key long")
+    return open_rows.select("node", "key").join(reps.select("node", "sketch"), "node").select("node", "key", "sketch").mapInPandas(split, "node long, key long")
 
 
 def _alike(rows: DataFrame, large: DataFrame, reps: DataFrame) -> DataFrame:
@@ -324,7 +334,7 @@ def ngram_jaccard(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     shingle set), n_links (other documents of similarity `threshold` or more) and n_text_links (other shingle sets)."""
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull()).withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     sets = written(_read_sets(texts, shingle, threshold, recall), "sets")
-    first = F.min(F.struct("id", "digest", "size", "keys", "marks")).alias("r")
+    first = F.min(F.struct("id", "digest", "size", "keys", "marks", "sketch")).alias("r")
     reps = sets.where("size > 0").groupBy("print").agg(first, F.count("*").alias("copies")).select("print", "r.*", "copies")
     # nodes number the different sets: ids may repeat
     reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "representatives")
@@ -350,16 +360,9 @@ def ngram_jaccard(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
         open_rows = kept.where("not leaf")
         if open_rows.isEmpty():
             break
-        members = text_of(open_rows.select("node").distinct())
-        rows = children = written(_split(open_rows.select("node", "key"), members, shingle, threshold, step + 1), "children")  # they are counted, then joined with the counts
-
-    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            own = [shingle_set(text, shingle) for text in batch["text"]]
-            yield pd.DataFrame({"node": batch["node"], "sketch": [sketch(s) for s in own]})
+        rows = children = written(_split(open_rows, reps, threshold, step + 1), "children")  # they are counted, then joined with the counts
 
-    marks = text_of(leaves.select("node").distinct()).mapInPandas(sketched, "node long, sketch binary")
-    near = _cells(leaves.join(marks, "node").join(reps.select("node", "size"), "node"), "key", "n", SKETCH_BLOCK_ROWS)
+    near = _cells(leaves.join(reps.select("node", "size", "sketch"), "node"), "key", "n", SKETCH_BLOCK_ROWS)
     candidates = components(_sorted_cells(near).mapInPandas(_near_forest(NEAR), "a long, b long"))
     removed(*buckets)
     roots = candidates.select(F.col("component").alias("node"), "component").distinct()

@@ -167,6 +167,25 @@ def test_runs_suffice_for_the_longest_path():
     assert jaccard.first_keys(np.arange(1, 2000, dtype=np.uint64), jaccard.runs(0.8, 0.9999), 0.8).size
 
 
+def test_runs_suffice_for_sketches_of_any_share():
+    n = jaccard.runs(0.8, 0.9999)
+    assert jaccard.missed(0.8, n) <= 1e-4 < jaccard.missed(0.8, n - 1)
+
+
+def test_splits_follow_equal_slots(spark):
+    rng = np.random.default_rng(50)
+    one, far = (rng.integers(0, 256, jaccard.SLOTS).astype(np.uint8) for _ in range(2))
+    near = one.copy()
+    near[rng.choice(jaccard.SLOTS, jaccard.SLOTS // 5, False)] ^= 1
+    reps = spark.createDataFrame([(n, bytearray(x.tobytes())) for n, x in enumerate((one, one, near, far))], "node long, sketch binary")
+    paths = spark.range(2000).select(F.xxhash64("id").alias("key"))
+    children = jaccard._split(reps.select("node").crossJoin(paths), reps, 0.8, 1).toPandas()
+    keys = [set(children.key[children.node == n]) for n in range(4)]
+    assert keys[0] == keys[1] and abs(len(keys[0]) / 2000 - 1.25) < 0.1
+    assert abs(len(keys[0] & keys[2]) / len(keys[0]) - 77 / 96) < 0.05
+    assert len(keys[0] & keys[3]) < 60
+
+
 def test_pairs_of_two_collisions_are_compared(spark):
     """Near copies at the threshold under exactly two of the hash functions; four of five shingles are common."""
     rng = np.random.default_rng(12)
