@@ -13,7 +13,9 @@ PIPELINE = r"Pipeline: total=(\d+)ms, cache=(\d+)ms, regex=(\d+)(?:ms)?(?:, ml=(
 RESTORE = r"Restored \d+ tags in '(\S+)' for session (\S+) in (\d+)µs"
 BATCH = r"ML Batch done: size=(\d+), reason=(\w+), pendingAfterFlush=(\d+)"
 INFERENCE = r"ML Inference: batchSize=(\d+), (\d+)ms \((\d+)ms/text\)"
-GC_PAUSE = r"\[([^\]]+)\]\[([^\]]+)\]\[([^\]]+)\]\[gc\].*GC\(\d+\)\s+Pause\s+(\w+).*?(\d+)[MK]->(\d+)[MK]\((\d+)[MK]\)\s+([\d.]+)ms"
+GC_DECORATIONS = r"\[([^\]]+)\]\[([^\]]+)\]\[([^\]]+)\]\[gc\]"
+GC_PAUSE = r"GC\(\d+\)\s+Pause\s+(\w+)"
+GC_HEAP = r"(\d+)([KMG])->(\d+)([KMG])\((\d+)([KMG])\)\s+([\d.]+)ms"
 
 
 def percentiles(df: DataFrame, value: str, ps: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
@@ -71,7 +73,12 @@ def inference_lines(lines: DataFrame) -> DataFrame:
 
 
 def gc_lines(lines: DataFrame) -> DataFrame:
-    return _fields(lines, GC_PAUSE, ("time", "uptime", "level", "type", "before_mb", "after_mb", "total_mb", "duration_ms"), ("before_mb", "after_mb", "total_mb", "duration_ms"))
+    """Pauses of a JVM's unified log; heap sizes in whole megabytes, whichever unit the line has."""
+    sizes = ("before", "after", "total")
+    got = _fields(_fields(lines, GC_DECORATIONS, ("time", "uptime", "level"), ()), GC_PAUSE, ("type",), ())
+    got = _fields(got, GC_HEAP, (*(n for s in sizes for n in (s, f"{s}_unit")), "duration_ms"), (*sizes, "duration_ms"))
+    in_mb = lambda s: F.when(F.col(f"{s}_unit") == "K", F.shiftright(s, 10)).when(F.col(f"{s}_unit") == "G", F.shiftleft(s, 10)).otherwise(F.col(s))
+    return got.withColumns({f"{s}_mb": in_mb(s) for s in sizes}).drop(*sizes, *(f"{s}_unit" for s in sizes))
 
 
 def breakdown(pipeline: DataFrame) -> DataFrame:
@@ -93,6 +100,11 @@ def gc_summary(pauses: DataFrame, order: str) -> DataFrame:
     return own.crossJoin(percentiles(pauses, "duration_ms", (50, 95, 99))).select("n", "total_ms", "max_ms", "p50", "p95", "p99", "heap.after_mb", "heap.total_mb")
 
 
+def gc_counts(pauses: DataFrame) -> DataFrame:
+    """type and n of the pauses, the most frequent first."""
+    return pauses.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type")
+
+
 def load_metrics(results: DataFrame, *, latency: str = "latency_ms", status: str = "status", by: tuple[str, ...] = ()) -> DataFrame:
     """by, n, error_rate, p95, p99 and whether they keep the limits: p95 < 2000 ms, p99 < 5000 ms, errors < 1 %."""
     n = results.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col(status) != 200).cast("double")).alias("error_rate"))

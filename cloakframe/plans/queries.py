@@ -477,10 +477,19 @@ def log_inferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.agg(F.count("*").alias("n"), F.max("time_ms").alias("most"), F.sum("per_text_ms").alias("per_text")).crossJoin(analytics.percentiles(lines, "time_ms", (50, 95)))
 
 
-def gc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _gc_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "events")
-    line = F.concat(F.lit("[2026-01-01T00:00:00][1.0s][info][gc] GC("), F.col("event_id").cast("string"), F.lit(") Pause Young (Normal) (G1 Evacuation Pause) "), (F.col("event_id") % 50 + 100).cast("string"), F.lit("M->"), (F.col("event_id") % 50).cast("string"), F.lit("M(256M) "), (F.col("event_id") % 40).cast("string"), F.lit(".5ms"))
-    return analytics.gc_summary(analytics.gc_lines(e.select("event_id", line.alias("value"))), "event_id")
+    kind = F.when(F.col("event_id") % 3 == 0, "Full").otherwise("Young")
+    line = F.concat(F.lit("[2026-01-01T00:00:00][1.0s][info][gc] GC("), F.col("event_id").cast("string"), F.lit(") Pause "), kind, F.lit(" (Normal) (G1 Evacuation Pause) "), (F.col("event_id") % 50 + 100).cast("string"), F.lit("M->"), (F.col("event_id") % 50).cast("string"), F.lit("M(256M) "), (F.col("event_id") % 40).cast("string"), F.lit(".5ms"))
+    return analytics.gc_lines(e.select("event_id", line.alias("value")))
+
+
+def gc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.gc_summary(_gc_log(spark, sf_dir), "event_id")
+
+
+def gc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.gc_counts(_gc_log(spark, sf_dir))
 
 
 def load_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -530,7 +539,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_split": stream_split, "json_decode": json_decode, "blank_guard": blank_guard, "role_filter": role_filter, "token_usage": token_usage, "tag_scan": tag_scan, "ordered_distinct_tags": ordered_distinct_tags, "mock_replies": mock_replies,
     "unary_restore": unary_restore, "response_round_trip": response_round_trip, "sse_frames": sse_frames, "bio_decode": _decoded(ner.decode_bio), "simple_decode": _decoded(ner.decode_simple), "label_inventory": label_inventory, "argmax_labels": argmax_labels, "ner_spans": ner_spans,
     "jw_pairs": jw_pairs, "resolve_fuzzy": resolve_fuzzy, "anonymize_fuzzy": anonymize_fuzzy, "nearest_rank_percentiles": nearest_rank_percentiles, "flush_reason_counts": flush_reason_counts, "log_breakdown": log_breakdown, "log_hit_ratio": log_hit_ratio,
-    "log_batches": log_batches, "log_restores": log_restores, "log_inferences": log_inferences, "gc_summary": gc_summary, "load_metrics": load_metrics, "live_sessions": live_sessions, "workload": workload, "stream_restore": stream_restore,
+    "log_batches": log_batches, "log_restores": log_restores, "log_inferences": log_inferences, "gc_summary": gc_summary, "gc_counts": gc_counts, "load_metrics": load_metrics, "live_sessions": live_sessions, "workload": workload, "stream_restore": stream_restore,
 }
 
 
@@ -600,6 +609,7 @@ ORACLE_SQL: dict[str, str] = {
     "log_restores": f"{_LOG_SQL} " + _percentiles_sql("(SELECT event_id * 31 % 97 AS us FROM l WHERE is_restore)", "us", (50, 95, 99), "", "count(*) AS n, max(us) AS most, "),
     "log_inferences": f"{_LOG_SQL} " + _percentiles_sql("(SELECT event_id * 13 % 97 AS ms, event_id * 2 % 97 AS pt FROM l WHERE is_inference)", "ms", (50, 95), "", "count(*) AS n, max(ms) AS most, CAST(sum(pt) AS BIGINT) AS per_text, "),
     "gc_summary": _percentiles_sql("(SELECT event_id, event_id % 40 + 0.5::DOUBLE AS d FROM events)", "d", (50, 95, 99), "", "count(*) AS n, sum(d) AS total_ms, max(d) AS max_ms, arg_max(event_id % 50, event_id) AS after_mb, CAST(256 AS BIGINT) AS total_mb, "),
+    "gc_counts": "SELECT CASE WHEN event_id % 3 = 0 THEN 'Full' ELSE 'Young' END AS type, count(*) AS n FROM events GROUP BY 1",
     "load_metrics": "SELECT *, p95 < 2000 AND p99 < 5000 AND error_rate < 0.01 AS within FROM (" + _percentiles_sql("(SELECT event_type, event_id * 37 % 2500 AS ms, event_id % 150 = 0 AS bad FROM events)", "ms", (95, 99), "event_type", "count(*) AS n, avg(CAST(bad AS DOUBLE)) AS error_rate, ") + ")",
     "live_sessions": "SELECT CAST(user_id AS VARCHAR) AS session, max(ts) AS last_access FROM events GROUP BY user_id HAVING epoch((SELECT max(ts) FROM events)) // 1 - epoch(max(ts)) // 1 <= 86400 ORDER BY max(ts) DESC, CAST(user_id AS VARCHAR) LIMIT 100",
 }

@@ -130,6 +130,15 @@ def test_log_lines(spark):
     assert analytics.hit_ratio(lines.limit(0), F.lit(True)).first().hit_rate == 0
 
 
+def test_gc_pauses_by_type_and_unit(spark):
+    head, rows = "[2026][1s][info][gc] GC(1) Pause ", ("Young (Normal) 2048K->1024K(4096K) 0.5ms", "Young (Normal) 1G->512M(2G) 2ms", "Full (System.gc()) 10M->5M(20M) 1.5ms")
+    lines = spark.createDataFrame([(n, head + r) for n, r in enumerate(rows)] + [(9, "[2026][1s][info][gc] GC(2) Concurrent Mark Cycle 3ms"), (10, None)], "n int, value string")
+    pauses = analytics.gc_lines(lines)
+    assert [(r.before_mb, r.after_mb, r.total_mb, r.duration_ms, r.level) for r in pauses.orderBy("n").collect()] == [(2, 1, 4, 0.5, "info"), (1024, 512, 2048, 2.0, "info"), (10, 5, 20, 1.5, "info")]
+    assert [tuple(r) for r in analytics.gc_counts(pauses).collect()] == [("Young", 2), ("Full", 1)]
+    assert analytics.gc_counts(pauses.limit(0)).count() == 0
+
+
 def test_workload(spark):
     pool = spark.createDataFrame([("A", ["1", "2"]), ("B", ["x"]), ("C", ["y"])], "type string, values array<string>")
     texts = spark.createDataFrame([("A", "a {A}"), ("B", "b {B}"), ("C", "c {C}"), (None, "free")], "type string, text string")
