@@ -292,3 +292,32 @@ def test_rows_of_one_id_or_none_are_kept(spark, sf_dir):
     assert {(r.doc_id, r.text) for r in kept.collect()} >= {(1, one), (1, two), (None, three), (None, four), (3, "a b c d e f g")}
     assert sum(r.text in (one, two, three, four) for r in kept.collect()) == 4
     assert {(r.doc_id, r.text) for r in p.benchmark_leaks(spark, docs, sf_dir).collect()} == {r for r in rows if leak not in r[1]}
+
+
+def sent_to_all(plan):
+    """The parts of a plan, as text, that are broadcast."""
+    parts, lines = [], plan.splitlines()
+    for n, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            depth = line.index("BroadcastExchange")
+            below = lines[n + 1 :]
+            end = next((k for k, x in enumerate(below) if len(x) - len(x.lstrip(" :+-")) <= depth), len(below))
+            parts.append("\n".join(below[:end]))
+    return parts
+
+
+def test_bucket_rows_are_never_broadcast(spark, monkeypatch):
+    """Their size is taken for that of the column of keys before explode, so a small estimate may stand for any number."""
+    plans = []
+
+    def written(df, label, write=jaccard.written):
+        if label == "buckets":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(jaccard, "written", written)
+    docs = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")
+    jaccard.ngram_jaccard(docs)
+    assert plans and "explode(keys" in plans[0]
+    above = [part.split("explode(keys")[0] for part in sent_to_all(plans[0]) if "explode(keys" in part]
+    assert all("HashAggregate" in x for x in above)  # sums of large buckets may be: they are few
