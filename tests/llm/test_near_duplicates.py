@@ -321,3 +321,19 @@ def test_bucket_rows_are_never_broadcast(spark, monkeypatch):
     assert plans and "explode(keys" in plans[0]
     above = [part.split("explode(keys")[0] for part in sent_to_all(plans[0]) if "explode(keys" in part]
     assert all("HashAggregate" in x for x in above)  # sums of large buckets may be: they are few
+
+
+def test_near_duplicate_stage_broadcasts_no_bucket_rows(spark, sf_dir, monkeypatch):
+    import corpus_pipeline
+
+    plans = []
+
+    def written(df, label, write=jaccard.written):
+        if label == "buckets":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(jaccard, "written", written)
+    corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    above = [part.split("explode(keys")[0] for part in sent_to_all(plans[0]) if "explode(keys" in part]
+    assert all("HashAggregate" in x for x in above)
