@@ -337,3 +337,26 @@ def test_near_duplicate_stage_broadcasts_no_bucket_rows(spark, sf_dir, monkeypat
     corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
     above = [part.split("explode(keys")[0] for part in sent_to_all(plans[0]) if "explode(keys" in part]
     assert all("HashAggregate" in x for x in above)
+
+
+def test_late_comparisons_are_with_members_that_can_hold_the_run(spark, monkeypatch):
+    """Documents that share a passage, and behind it words in common with one other alone: such runs ask that one, not all."""
+    rng = np.random.default_rng(31)
+    shared, texts = words_of(rng, 44), []
+    for _ in range(30):
+        tail = words_of(rng, 3)
+        for _ in range(2):
+            texts.append(" ".join(words_of(rng, 30) + shared + tail + words_of(rng, 30)))
+    compared = []
+
+    def written(df, label, write=passages.written):
+        out = write(df, label)
+        if label == "pairs":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "written", written)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_repeated for r in passages.repeated_passages(df).collect()}
+    assert all(got[n] >= 50 for n in range(60))
+    assert sum(compared[2:]) < 200, compared
