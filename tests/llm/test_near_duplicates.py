@@ -360,3 +360,54 @@ def test_late_comparisons_are_with_members_that_can_hold_the_run(spark, monkeypa
     got = {r.doc_id: r.n_repeated for r in passages.repeated_passages(df).collect()}
     assert all(got[n] >= 50 for n in range(60))
     assert sum(compared[2:]) < 200, compared
+
+
+def passages_in_groups():
+    """Documents that share a passage, pairs of them some words more behind it, and near copies of one; their runs differ."""
+    rng = np.random.default_rng(32)
+    shared, texts = words_of(rng, 44), []
+    for _ in range(12):
+        tail = words_of(rng, 3)
+        for _ in range(2):
+            texts.append(words_of(rng, 30) + shared + tail + words_of(rng, 30))
+    copy = words_of(rng, 120)
+    for n in range(20):
+        texts.append([*copy[:n], f"y{n}", *copy[n:60], f"z{n}", *copy[60 + n % 3 :]])
+    texts.append(words_of(rng, 10) + ["again"] * 80 + copy[:55])
+    return [" ".join(t) for t in texts]
+
+
+def test_members_of_a_leader_are_compared_in_one_cell(spark, monkeypatch):
+    """No table has a row for each shingle by key; passages are those of a comparison of all pairs."""
+    labels = []
+
+    def written(df, label, write=passages.written):
+        labels.append(label)
+        return write(df, label)
+
+    monkeypatch.setattr(passages, "written", written)
+    texts = passages_in_groups()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in passages.repeated_passages(df).collect()}
+    assert not {"values", "holders", "open"} & set(labels)
+    own = [passages.Sequence(passages.shingles(t), 46) for t in texts]
+    for n, spans in got.items():
+        want = passages.merged([s for m in range(len(texts)) if m != n for s in passages.repeated_in(own[n], own[m], 0.8)])
+        assert spans == [(a, b + 4) for a, b in want], n
+
+
+def test_large_cells_are_compared_in_rounds(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(passages_in_groups())), "doc_id long, text string")
+    rows = lambda: sorted((r.doc_id, r.class_id, r.n_repeated) for r in passages.repeated_passages(df).collect())
+    in_cells = rows()
+    monkeypatch.setattr(passages, "CELL_SHINGLES", 0)
+    assert rows() == in_cells
+
+
+def test_shared_keys_are_found_in_parts(spark, monkeypatch):
+    """Each part of the keys is written before the next one is shuffled; together they are the rows of all."""
+    rows = spark.range(4000).selectExpr("id % 37 node", "xxhash64(id % 700) key", "cast(id as int) first", "1 runs")
+    parts = passages._in_parts(rows, "part", lambda kept: kept)
+    assert len(parts) == passages.PARTS and all(0 < part.count() < 2400 for part in parts)
+    listed = lambda df: sorted(tuple(r) for r in df.select("node", "key", "first", "runs", "low").collect())
+    assert sorted(x for part in parts for x in listed(part)) == listed(passages._shared(rows))
